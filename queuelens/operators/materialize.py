@@ -1,0 +1,27 @@
+"""Reuse of an intermediate that two branches of one plan read.
+
+``persist``: executors keep the blocks (memory, spilling to disk); a lost
+executor's blocks are recomputed from lineage.
+``checkpoint``: the rows are also written under ``spark.checkpoint.dir``
+(shared storage on a cluster) and the lineage is cut, so a lost executor costs
+a re-read, not a recompute. Blocks are persisted first so that the checkpoint
+write does not recompute the plan.
+"""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+
+from queuelens.session import checkpoint_dir
+
+
+def reuse(df: DataFrame, how: str = "persist") -> DataFrame:
+    if how == "none":
+        return df
+    if how == "persist":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if how == "checkpoint":
+        checkpoint_dir(df.sparkSession)
+        return df.persist(StorageLevel.MEMORY_AND_DISK).checkpoint(eager=True)
+    raise ValueError(f"unknown reuse mode {how!r}")
