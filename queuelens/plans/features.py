@@ -186,9 +186,8 @@ def feature_summary(features: DataFrame) -> DataFrame:
     )
 
 
-def write_features(features: DataFrame, path: str, partition_by_split: bool = True) -> None:
-    """K1: ZSTD Parquet; partitioned by split so later split reads prune files."""
-    writer = features.write.mode("overwrite").option("compression", "zstd")
-    if partition_by_split:
-        writer = writer.partitionBy("split")
-    writer.parquet(path)
+def write_features(features: DataFrame, path: str, partition_by_split: bool = True) -> str:
+    """K1 (see sources.parquet.write_features)."""
+    from queuelens.sources.parquet import write_features as _write
+
+    return _write(features, path, partition_by_split)
