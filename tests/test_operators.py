@@ -1,0 +1,68 @@
+"""Custom operators against brute force on small fixtures."""
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from queuelens.operators import quantiles as Q
+from queuelens.operators.prefix_sum import running_sum
+from queuelens.operators.stats import bounded_sample, rank_cdf
+
+
+def _np_quantile(a, p):
+    s = np.sort(a)
+    pos = p * (len(s) - 1)
+    lo, hi = int(np.floor(pos)), int(np.ceil(pos))
+    return s[lo] + (s[hi] - s[lo]) * (pos - lo)
+
+
+def test_exact_quantiles_heavy_ties(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    n = 30000
+    x = np.concatenate([np.zeros(n // 3), rng.exponential(50, n - n // 3).round(1)])
+    g = rng.integers(0, 3, n)
+    df = spark.createDataFrame(pd.DataFrame({"g": g.astype("int64"), "x": x}))
+    probs = [0.0, 0.1, 0.5, 0.9, 0.999, 1.0]
+    monkeypatch.setattr(Q, "MIN_ACCURACY", 50)      # force narrow brackets
+    got = {(r.g, r.qi): r.quantile for r in Q.exact_quantiles(df, "x", probs, ["g"]).collect()}
+    for k in range(3):
+        for i, p in enumerate(probs):
+            assert got[(k, i)] == _np_quantile(x[g == k], p)
+    glob = {r.qi: r.quantile for r in Q.exact_quantiles(df, "x", probs).collect()}
+    for i, p in enumerate(probs):
+        assert glob[i] == _np_quantile(x, p)
+
+
+def test_exact_quantiles_empty_group(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", None)], "g string, x double")
+    out = {r.g: r.m for r in Q.quantiles_wide(df, "x", {"m": 0.5}, ["g"]).collect()}
+    assert out == {"a": 1.0}
+
+
+def test_running_sum_matches_plain_window(spark):
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(-5000, 50000, 3000))
+    pdf = pd.DataFrame({"k": keys.astype("int64"), "v": rng.integers(-3, 5, len(keys)).astype("int64")})
+    df = spark.createDataFrame(pdf)
+    got = {r.k: r.s for r in running_sum(df, "k", "v", "s", 1440).collect()}
+    expect = dict(zip(pdf.k, pdf.sort_values("k").v.cumsum().reindex(pdf.index)))
+    plain = df.withColumn("s", F.sum("v").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
+    assert got == {r.k: r.s for r in plain.collect()}
+    assert got == {int(k): int(v) for k, v in expect.items()}
+
+
+def test_rank_cdf_brute_force(spark):
+    vals = [0.0] * 7 + [1.5, 2.0, 2.0, 9.0]
+    df = spark.createDataFrame([(v,) for v in vals], "e double")
+    got = sorted((r.e, r.rank, r.cdf) for r in rank_cdf(df, "e").collect())
+    s = sorted(vals)
+    assert got == [(v, i, i / len(s)) for i, v in enumerate(s)]
+
+
+def test_bounded_sample_cap_and_determinism(spark):
+    df = spark.range(1000).withColumn("t", F.col("id") % 7)
+    a = [r.id for r in bounded_sample(df, ["id", "t"], 100).collect()]
+    b = [r.id for r in bounded_sample(df, ["id", "t"], 100).collect()]
+    assert len(a) == 100 and sorted(a) == sorted(b)
+    assert len(bounded_sample(df, ["id"], 5000).collect()) == 1000
