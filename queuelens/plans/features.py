@@ -1,12 +1,13 @@
 """Per-task feature table.
 
-Plan shape (task_events is read twice, each scan pruned to its columns):
+Plan shape (task_events is read three times, each scan pruned to its columns
+and, for the counts, filtered at the scan):
 
   task_events --(agg by job_id, task_index; map-side partial)--> task_rollup
       one fused conditional aggregation gives first SUBMIT, first SCHEDULE and
       its machine, the earliest non-NULL attributes and the two flags; it
       replaces three scans, three shuffles and two joins of the naive plan.
-  task_rollup --(agg by job_id)--> job_task_counts      (tasks with a SUBMIT)
+  SUBMIT events --(distinct tasks, then count by job_id)--> job_task_counts
   task_events --(agg by minute)--> minute_events --(block prefix sum)--> backlog
   machine_events --(agg by machine)--> machine_capacity  (latest non-NULL)
 
@@ -98,10 +99,16 @@ def first_schedule(task_events: DataFrame) -> DataFrame:
     )
 
 
-def job_task_counts(rollup: DataFrame) -> DataFrame:
-    """Tasks with at least one SUBMIT event, per job."""
+def job_task_counts(task_events: DataFrame) -> DataFrame:
+    """Tasks with at least one SUBMIT event, per job.
+
+    Reads only SUBMIT events (the filter reaches the scan), collapses them to
+    distinct tasks and counts per job; both steps aggregate map-side first,
+    so a job with a huge number of tasks is pre-counted in every task.
+    """
     return (
-        rollup.where(F.col("submit_events") > 0)
+        task_events.where(F.col("event_type") == SUBMIT)
+        .select("job_id", "task_index").distinct()
         .groupBy("job_id").agg(F.count(F.lit(1)).alias("job_task_count"))
     )
 
@@ -133,15 +140,14 @@ def feature_base(rollup: DataFrame) -> DataFrame:
 
 
 def build_features(task_events: DataFrame, machine_events: DataFrame,
-                   rollup_reuse: str = "persist") -> DataFrame:
+                   rollup_reuse: str = "none") -> DataFrame:
     """The 24-column feature table, one row per schedulable task.
 
-    The task rollup feeds both the job counts and the base rows; it is kept
-    (``rollup_reuse``, see operators.materialize) so task_events is scanned
-    and shuffled once for it rather than once per branch.
+    ``rollup_reuse`` can keep the task rollup (operators.materialize) when a
+    caller reads it more than once; the plan itself reads it once.
     """
     rollup = reuse(task_rollup(task_events), rollup_reuse)
-    counts = job_task_counts(rollup)
+    counts = job_task_counts(task_events)
     capacity = machine_capacity(machine_events).withColumnRenamed("machine_id", "schedule_machine")
     load = backlog(task_events).withColumnRenamed("minute_bucket", "submit_bucket")
 
