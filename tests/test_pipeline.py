@@ -1,0 +1,43 @@
+"""End-to-end stages (M8) with their sinks (K1-K4) on the smallest scale."""
+
+import json
+import os
+import tempfile
+
+import pytest
+
+from conftest import SF_SMALL
+from queuelens.model import gbt
+from queuelens.plans import pipeline as PL
+from queuelens.sources.parquet import read_features
+
+
+def test_pipeline_all_stages(spark):
+    out = tempfile.mkdtemp(prefix="ql-pipe-")
+    cfg = PL.PipelineConfig(artifacts=out, adapter_dir=SF_SMALL, run_baselines=True,
+                            boost=gbt.BoostConfig(num_boost_round=4, max_depth=3, early_stopping_rounds=2))
+    done = PL.run(spark, cfg)
+    for key in ("validation", "features", "baselines", "pretrain", "model", "model_metrics", "evaluation"):
+        assert key in done, key
+    report = open(done["validation"]).read()
+    assert report.startswith("Row counts\n----------") and "Task usage ranges" in report
+    feats = read_features(spark, done["features"])
+    assert feats.count() == 2212                         # FIXTURES.md, sf0.001
+    pre = json.load(open(done["pretrain"]))
+    assert pre["rows_total"] == 2212 and sum(pre["rows_by_split"].values()) == 2212
+    ev = json.load(open(done["evaluation"]))
+    assert ev["all_rows_metrics"]["rows"] == 2212
+    assert {"gain", "weight"} >= {r["importance_type"] for r in ev["feature_importance"]}
+    assert gbt.load_model(done["model"]).getNumTrees >= 1
+    assert "Constant baseline metrics" in open(done["baselines"]).read()
+
+
+def test_skip_features_without_path_exits(spark):
+    cfg = PL.PipelineConfig(artifacts=tempfile.mkdtemp(), skip_validate=True, skip_features=True)
+    with pytest.raises(SystemExit):
+        PL.run(spark, cfg)
+
+
+def test_missing_features_path(spark):
+    with pytest.raises(FileNotFoundError):
+        read_features(spark, os.path.join(tempfile.mkdtemp(), "absent.parquet"))
