@@ -116,3 +116,13 @@ def duckdb_ctes(*names: str) -> str:
     """``WITH`` prefix defining the named adapter views for the DuckDB oracle."""
     parts = [f"{n} AS ({_render(ADAPTER_SQL[n], 'duckdb')}\n)" for n in names]
     return "WITH " + ",\n".join(parts)
+
+
+def adapter_stream(spark: SparkSession, sf_dir: str, name: str, streamed: str = "lineitem") -> DataFrame:
+    """The named view with ``streamed`` read as a file stream (others static)."""
+    base = base_frames(spark, sf_dir)
+    stream = (spark.readStream.schema(base[streamed].schema)
+              .option("pathGlobFilter", f"{streamed}.parquet").parquet(sf_dir))
+    text = _render(ADAPTER_SQL[name], "spark")
+    used = {t: (stream if t == streamed else base[t]) for t in BASE_TABLES if "{" + t + "}" in text}
+    return spark.sql(text, **used)
