@@ -6,7 +6,8 @@ of the column in one place. Here each requested quantile is found in three
 bounded steps:
 
 1. per group: row count ``n`` and a GK sketch (``percentile_approx``) read at
-   ``p -/+ margin``; these bracket the two ranks the interpolation needs;
+   ``p -/+ margin``; these bracket the two ranks the interpolation needs (a
+   group no larger than the sketch accuracy is bracketed whole);
 2. one scan, partially aggregated per task: rows below a bracket are counted,
    rows inside it are counted per distinct value (a hot value is one row per
    task before the shuffle);
@@ -30,7 +31,10 @@ from pyspark.sql import functions as F
 # this many ranks; memory of the sketch stays within the given bounds.
 TARGET_BRACKET = 20_000
 MIN_ACCURACY, MAX_ACCURACY = 10_000, 2_000_000
-MARGIN = 4.0            # bracket half-width, in units of the sketch's rank error
+# Bracket half-width in units of 1/accuracy: the sketch's rank error (1) plus
+# the gap between its rank (p*n) and the interpolation ranks floor/ceil(p*(n-1))
+# (at most 3 ranks, < 3/accuracy of a group larger than the accuracy), plus slack.
+MARGIN = 6.0
 BROADCAST_GROUPS = 100_000
 
 
@@ -59,11 +63,13 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: list[float],
         F.count(F.lit(1)).alias("__n"),
         F.percentile_approx("__v", probes, acc).alias("__sk"),
     )
+    # A group no larger than the accuracy is its own bracket (bounded by it).
+    small = F.col("__n") <= F.lit(acc)
     edges = sketch.select(
         *grp, "__n",
-        *[F.when(F.lit(probs[i] - eps) <= 0, F.lit(float("-inf")))
+        *[F.when(small | (F.lit(probs[i] - eps) <= 0), F.lit(float("-inf")))
           .otherwise(F.col("__sk")[2 * i]).alias(f"__lo{i}") for i in range(len(probs))],
-        *[F.when(F.lit(probs[i] + eps) >= 1, F.lit(float("inf")))
+        *[F.when(small | (F.lit(probs[i] + eps) >= 1), F.lit(float("inf")))
           .otherwise(F.col("__sk")[2 * i + 1]).alias(f"__hi{i}") for i in range(len(probs))],
     ).cache()
     groups = edges.count()
