@@ -52,27 +52,35 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: list[float],
     if not by:
         data = data.withColumn("__g", F.lit(0))
 
-    # -- step 1: counts and sketch brackets (one small row per group)
-    n_max = data.groupBy(*grp).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    acc = _accuracy(n_max)
-    eps = MARGIN / acc
-    probes = []
-    for p in probs:
-        probes += [max(0.0, p - eps), min(1.0, p + eps)]
-    sketch = data.groupBy(*grp).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", probes, acc).alias("__sk"),
-    )
-    # A group no larger than the accuracy is its own bracket (bounded by it).
-    small = F.col("__n") <= F.lit(acc)
-    edges = sketch.select(
-        *grp, "__n",
-        *[F.when(small | (F.lit(probs[i] - eps) <= 0), F.lit(float("-inf")))
-          .otherwise(F.col("__sk")[2 * i]).alias(f"__lo{i}") for i in range(len(probs))],
-        *[F.when(small | (F.lit(probs[i] + eps) >= 1), F.lit(float("inf")))
-          .otherwise(F.col("__sk")[2 * i + 1]).alias(f"__hi{i}") for i in range(len(probs))],
-    ).cache()
-    groups = edges.count()
+    # -- step 1: counts and sketch brackets (one small row per group). The
+    # sketch starts at the minimum accuracy; only a group too large for it
+    # (bracket over TARGET_BRACKET ranks) triggers a second, finer sketch.
+    def brackets(acc: int) -> DataFrame:
+        eps = MARGIN / acc
+        probes = []
+        for p in probs:
+            probes += [max(0.0, p - eps), min(1.0, p + eps)]
+        sketch = data.groupBy(*grp).agg(
+            F.count(F.lit(1)).alias("__n"),
+            F.percentile_approx("__v", probes, acc).alias("__sk"),
+        )
+        # A group no larger than the accuracy is its own bracket (bounded by it).
+        small = F.col("__n") <= F.lit(acc)
+        edges = sketch.select(
+            *grp, "__n",
+            *[F.when(small | (F.lit(probs[i] - eps) <= 0), F.lit(float("-inf")))
+              .otherwise(F.col("__sk")[2 * i]).alias(f"__lo{i}") for i in range(len(probs))],
+            *[F.when(small | (F.lit(probs[i] + eps) >= 1), F.lit(float("inf")))
+              .otherwise(F.col("__sk")[2 * i + 1]).alias(f"__hi{i}") for i in range(len(probs))],
+        ).cache()
+        return edges
+
+    edges = brackets(MIN_ACCURACY)
+    groups, n_max = edges.agg(F.count(F.lit(1)), F.max("__n")).first()
+    acc = _accuracy(n_max or 0)
+    if acc > MIN_ACCURACY:
+        edges.unpersist()
+        edges = brackets(acc)
     edges_side = F.broadcast(edges) if groups <= BROADCAST_GROUPS else edges
 
     # -- step 2: below-bracket counts and in-bracket value counts, one scan

@@ -34,6 +34,18 @@ def test_exact_quantiles_heavy_ties(spark, monkeypatch):
         assert glob[i] == _np_quantile(x, p)
 
 
+def test_exact_quantiles_refined_sketch(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([np.full(4000, 5.0), rng.normal(0, 10, 8000).round(3)])
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    monkeypatch.setattr(Q, "MIN_ACCURACY", 20)
+    monkeypatch.setattr(Q, "TARGET_BRACKET", 100)       # 12000 rows -> second, finer sketch
+    probs = [0.05, 0.33, 0.5, 0.77, 0.99]
+    got = {r.qi: r.quantile for r in Q.exact_quantiles(df, "x", probs).collect()}
+    for i, p in enumerate(probs):
+        assert got[i] == _np_quantile(x, p)
+
+
 def test_exact_quantiles_empty_group(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", None)], "g string, x double")
     out = {r.g: r.m for r in Q.quantiles_wide(df, "x", {"m": 0.5}, ["g"]).collect()}
