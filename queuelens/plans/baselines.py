@@ -37,15 +37,6 @@ def train_distribution(features: DataFrame, label: Column | None = None) -> Data
     )
 
 
-def train_constants(features: DataFrame, label: Column | None = None) -> tuple[Column, Column]:
-    """Train mean and median as scalar-subquery columns."""
-    y = label if label is not None else F.col(LABEL)
-    train = _train(features).select(y.alias("__y"))
-    mean = train.agg(F.avg("__y")).scalar()
-    median = quantiles_wide(train, "__y", {"m": 0.5}).select("m").scalar()
-    return mean, median
-
-
 def baseline_errors(df: DataFrame, y: Column, mean: Column, median: Column,
                     by: list[str] | None = None) -> DataFrame:
     """MAE / RMSE of the two constant predictors (per group or overall)."""
