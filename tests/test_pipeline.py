@@ -25,11 +25,19 @@ def test_pipeline_all_stages(spark):
     assert feats.count() == 2212                         # FIXTURES.md, sf0.001
     pre = json.load(open(done["pretrain"]))
     assert pre["rows_total"] == 2212 and sum(pre["rows_by_split"].values()) == 2212
+    assert set(pre["label_quantiles_sample"]) == {"p10", "p25", "p50", "p75", "p90", "p95", "p99"}
+    mm = json.load(open(done["model_metrics"]))
+    assert {"valid", "test"} <= set(mm) and mm["valid"]["split"] == "valid"
     ev = json.load(open(done["evaluation"]))
-    assert ev["all_rows_metrics"]["rows"] == 2212
-    assert {"gain", "weight"} >= {r["importance_type"] for r in ev["feature_importance"]}
+    assert ev["random_sample_metrics"]["rows"] == 2212
+    assert set(ev["test_metrics"]["abs_error_quantiles"]) == {"p50", "p90", "p95", "p99"}
+    assert set(ev["test_deciles"]) == {"actual_quantiles", "pred_quantiles", "abs_error_quantiles"}
+    assert set(ev["feature_importance"]) == {"gain", "weight", "cover"}
     assert gbt.load_model(done["model"]).getNumTrees >= 1
-    assert "Constant baseline metrics" in open(done["baselines"]).read()
+    base = open(done["baselines"]).read().splitlines()
+    assert base[0] == "Train distribution summary (seconds):" and len(base) == 9
+    summary = open(os.path.join(out, "feature_summary.txt")).read().splitlines()
+    assert summary[0] == "split\trows\tavg_queue_delay_seconds" and len(summary) == 4
 
 
 def test_skip_features_without_path_exits(spark):
