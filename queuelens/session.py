@@ -1,7 +1,8 @@
 """Spark session defaults for the engine.
 
-Cluster deployments pass their own conf (spark-submit / builder); these are
-the knobs the plans rely on and are only filled in when unset.
+Cluster deployments pass their own conf (spark-submit / defaults file); the
+knobs below are the ones the plans rely on and are only filled in when the
+cluster conf does not set them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ ENGINE_CONF: dict[str, str] = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Broadcast decided on measured (not estimated) sizes of finished stages.
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.ui.enabled": "false",
@@ -33,13 +36,16 @@ def build_session(
     extra_conf: dict[str, str] | None = None,
 ) -> SparkSession:
     """Create (or reuse) a session with the engine defaults applied."""
+    from pyspark import SparkConf
+
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = dict(ENGINE_CONF)
+    given = SparkConf()             # includes spark-submit --conf / defaults file
+    conf = {k: v for k, v in ENGINE_CONF.items() if not given.contains(k)}
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra_conf or {})
+    conf.update(extra_conf or {})   # explicit arguments win
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
