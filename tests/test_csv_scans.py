@@ -36,6 +36,7 @@ def test_task_events_values(spark):
     "0,,1,0,1,0,u,3,9,0.1,0.1\n",                       # too few fields
     "0,,1,0,1,0,u,3,9,0.1,0.1,0.1,0,extra\n",           # too many fields
     "0,,1,0,1,zero,u,3,9,0.1,0.1,0.1,0\n",              # word in a numeric column
+    "9223372036854775808,,1,0,1,0,u,3,9,0.1,0.1,0.1,0\n",  # above 2^63-1: fails, never wraps
 ])
 def test_malformed_rows_fail(spark, bad):
     d = _write(GOOD + bad)

@@ -164,3 +164,11 @@ def test_metrics_on_no_rows(spark):
     df = frame(spark, [], "y double, p double")
     m = finish_metrics(error_sums(df, F.col("y"), F.col("p"))).first()
     assert m.rows == 0 and m.rmse_seconds == 0.0 and m.mae_seconds == 0.0
+
+
+def test_huge_timestamp_overflows_int_index(spark):
+    import pytest
+
+    rows = [ev(2**62, 1, 0, 0), ev(2**62 + 10, 1, 0, 1, machine=1)]
+    with pytest.raises(Exception):
+        _features(spark, rows)
