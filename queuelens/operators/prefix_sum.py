@@ -23,11 +23,15 @@ def running_sum(df: DataFrame, key: str, value: str, out: str, block: int) -> Da
     within = keyed.withColumn("__in", F.sum(value).over(inner))
 
     totals = keyed.groupBy(blk).agg(F.sum(value).alias("__tot"))
-    before = Window.orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(blk, F.coalesce(F.sum("__tot").over(before), F.lit(0)).alias("__off"))
+    # NULL keys sort last, as in SQL's default ascending order.
+    before = Window.orderBy(F.col(blk).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col(blk).alias("__ob"),
+                            F.coalesce(F.sum("__tot").over(before), F.lit(0)).alias("__off"))
 
+    # Null-safe equality: no IsNotNull filter is inferred into one branch only,
+    # so both branches keep the same per-key subplan and its shuffle is reused.
     return (
-        within.join(offsets, blk, "inner")
+        within.join(offsets, within[blk].eqNullSafe(offsets["__ob"]), "inner")
         .withColumn(out, (F.col("__in") + F.col("__off")).cast("bigint"))
-        .drop(blk, "__in", "__off")
+        .drop(blk, "__ob", "__in", "__off")
     )

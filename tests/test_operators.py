@@ -78,3 +78,15 @@ def test_bounded_sample_cap_and_determinism(spark):
     b = [r.id for r in bounded_sample(df, ["id", "t"], 100).collect()]
     assert len(a) == 100 and sorted(a) == sorted(b)
     assert len(bounded_sample(df, ["id"], 5000).collect()) == 1000
+
+
+def test_running_sum_null_key_sorts_last(spark):
+    import duckdb
+
+    rows = [(None, 5), (3, 1), (1500, 2), (-7, 4)]
+    df = spark.createDataFrame(rows, "k bigint, v bigint")
+    got = sorted((r.k if r.k is not None else 10**18, r.s) for r in running_sum(df, "k", "v", "s", 1440).collect())
+    con = duckdb.connect()
+    con.execute("create table t as select * from (values (NULL, 5), (3, 1), (1500, 2), (-7, 4)) x(k, v)")
+    ref = con.sql("select k, sum(v) over (order by k rows between unbounded preceding and current row) s from t").fetchall()
+    assert got == sorted((k if k is not None else 10**18, s) for k, s in ref)
