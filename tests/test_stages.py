@@ -8,11 +8,11 @@ import pytest
 
 from conftest import SF_SMALL
 from queuelens.model import gbt
-from queuelens.plans import pipeline as PL
+from queuelens.plans import stages as PL
 from queuelens.sources.parquet import read_features
 
 
-def test_pipeline_all_stages(spark):
+def test_all_stages_end_to_end(spark):
     out = tempfile.mkdtemp(prefix="ql-pipe-")
     cfg = PL.PipelineConfig(artifacts=out, adapter_dir=SF_SMALL, run_baselines=True,
                             boost=gbt.BoostConfig(num_boost_round=4, max_depth=3, early_stopping_rounds=2))
