@@ -16,9 +16,11 @@ and, for the counts, filtered at the scan):
        LEFT JOIN machine_capacity ON schedule_machine
        LEFT JOIN backlog          ON minute bucket of submit_ts
 
-All three right sides are aggregates; AQE picks broadcast from their measured
-size or a sort-merge join with skew splitting, so a hot job, machine or minute
-is split instead of landing in one task.
+All three right sides are aggregates. The per-minute table is bounded by the
+trace's time span; it is counted and broadcast below a limit. Job counts and
+machine capacity are left to the planner: broadcast from a (size-bounded)
+estimate or AQE's measured size, else a sort-merge join with skew splitting,
+so a hot job, machine or minute is split instead of landing in one task.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from queuelens.operators.prefix_sum import running_sum
 from queuelens.sources.schemas import FEATURE_COLUMNS, SCHEDULE, SUBMIT
 
 KEYS = ["job_id", "task_index"]
+BROADCAST_MINUTES = 2_000_000      # about 64 MB of (minute, counts, backlog) rows
 
 
 def minute_events(task_events: DataFrame) -> DataFrame:
@@ -149,7 +152,13 @@ def build_features(task_events: DataFrame, machine_events: DataFrame,
     rollup = reuse(task_rollup(task_events), rollup_reuse)
     counts = job_task_counts(task_events)
     capacity = machine_capacity(machine_events).withColumnRenamed("machine_id", "schedule_machine")
-    load = backlog(task_events).withColumnRenamed("minute_bucket", "submit_bucket")
+    # One row per minute of the trace's span (about 42k for a month): bounded by
+    # time, not by data volume. It is kept, counted, and broadcast below the
+    # limit, so the task rows are never shuffled by minute; above it the join
+    # stays keyed (AQE splits a hot minute).
+    load = reuse(backlog(task_events), "persist").withColumnRenamed("minute_bucket", "submit_bucket")
+    if load.count() <= BROADCAST_MINUTES:
+        load = F.broadcast(load)
 
     base = feature_base(rollup).withColumn("submit_bucket", minute_bucket(F.col("submit_ts")))
     joined = (
