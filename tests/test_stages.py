@@ -49,3 +49,21 @@ def test_skip_features_without_path_exits(spark):
 def test_missing_features_path(spark):
     with pytest.raises(FileNotFoundError):
         read_features(spark, os.path.join(tempfile.mkdtemp(), "absent.parquet"))
+
+
+def test_stages_from_raw_csv(spark):
+    """Raw CSV input: staged once as Parquet, then validation and features."""
+    from queuelens.sources.adapters import adapter_frames
+
+    raw = tempfile.mkdtemp(prefix="ql-raw-")
+    expected = {}
+    for name, df in adapter_frames(spark, SF_SMALL).items():
+        df.write.option("header", "false").option("nullValue", "").csv(os.path.join(raw, f"{name}.csv"))
+        expected[name] = df.count()
+    out = tempfile.mkdtemp(prefix="ql-stages-")
+    cfg = PL.PipelineConfig(artifacts=out, data_dir=raw, skip_pretrain_analysis=True, skip_train=True)
+    done = PL.run(spark, cfg)
+    assert os.path.isdir(os.path.join(done["raw_parquet"], "task_events.parquet"))
+    assert read_features(spark, done["features"]).count() == 2212
+    lines = open(done["validation"]).read().split("\n\n")[0].splitlines()[3:]   # title, rule, header
+    assert {t: int(n) for t, n in (ln.split("\t") for ln in lines)} == expected
