@@ -90,3 +90,13 @@ def test_running_sum_null_key_sorts_last(spark):
     con.execute("create table t as select * from (values (NULL, 5), (3, 1), (1500, 2), (-7, 4)) x(k, v)")
     ref = con.sql("select k, sum(v) over (order by k rows between unbounded preceding and current row) s from t").fetchall()
     assert got == sorted((k if k is not None else 10**18, s) for k, s in ref)
+
+
+def test_bounded_sample_equals_plain_top_k(spark):
+    from pyspark.sql import functions as F2
+
+    df = spark.range(20000).withColumn("t", F.col("id") % 13)
+    key = F2.md5(F2.concat_ws(":", F2.lit(""), F2.col("id").cast("string"), F2.col("t").cast("string")))
+    plain = sorted(r.id for r in df.withColumn("h", key).orderBy("h").limit(700).collect())
+    fast = sorted(r.id for r in bounded_sample(df, ["id", "t"], 700).collect())
+    assert fast == plain and len(fast) == 700
