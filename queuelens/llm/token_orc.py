@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -34,7 +35,7 @@ END_ID = 1
 #: Columns of the files.
 STORED = "block int, block_start long, n_ids int, doc_id long, ids array<int>"
 #: Words remembered per worker; the cache starts anew when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 #: Token ids in one Arrow batch handed back to Spark.
 BATCH_IDS = 4_000_000
 
@@ -56,19 +57,56 @@ def _encoder(path: str) -> tuple:
     return _ENCODERS[path]
 
 
-def encode_texts(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
+def _split_word(word: bytes) -> tuple[bytes, bytes]:
+    """A word in the form the tokenizer sees, and a closing punctuation run.
+
+    The tokenizer lower-cases and always cuts between a letter and such a run,
+    so both parts have ids of their own. Words that may hold a special token
+    stay as they are.
+    """
+    if b"<|" in word:
+        return word, b""
+    low = word.lower()
+    stem = low.rstrip(b",.!?;:")
+    return (stem, low[len(stem):]) if stem[-1:].isalpha() else (low, b"")
+
+
+def _learn(words: set[bytes], tokenizer, cache: dict[bytes, bytes]) -> None:
+    """Put the ids of new words into the cache, as packed 32-bit integers."""
+    parts = {w: _split_word(w) for w in words}
+    new = list({p for pair in parts.values() for p in pair if p and p not in cache})
+    if new:
+        found = tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
+        cache.update(zip(new, (array("I", e.ids).tobytes() for e in found), strict=True))
+    cache.update((w, cache[stem] + (cache[end] if end else b"")) for w, (stem, end) in parts.items())
+
+
+def encode_texts(texts: Iterable[str | None], path: str) -> Iterator[np.ndarray]:
     """The ids of each text followed by the end id."""
     tokenizer, cache = _encoder(path)
+    end = array("I", [END_ID]).tobytes()
+    for portion in _portions(texts):
+        docs = [text.encode().split() for text in portion]      # bytes.split: ASCII white space only
+        words = set(chain.from_iterable(docs))
+        new = words.difference(cache)
+        if len(cache) + 2 * len(new) > CACHE_WORDS:
+            cache.clear()
+            new = words
+        _learn(new, tokenizer, cache)
+        for doc in docs:
+            yield np.frombuffer(b"".join(chain(map(cache.__getitem__, doc), (end,))), np.uint32).view(np.int32)
+
+
+def _portions(texts: Iterable[str | None], chars: int = 1 << 22) -> Iterator[list[str]]:
+    held, size = [], 0
     for text in texts:
-        words = (text or "").encode().split()      # bytes.split: ASCII white space only
-        new = [w for w in set(words) if w not in cache]
-        if new:
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(set(words))
-            found = tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            cache.update(zip(new, (e.ids for e in found), strict=True))
-        yield np.fromiter(chain(chain.from_iterable(map(cache.__getitem__, words)), (END_ID,)), np.int32)
+        held.append(text or "")
+        size += len(held[-1])
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _encode_batches(path: str):
