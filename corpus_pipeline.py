@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queuelens.llm import decontaminate, mixing, quality_rules, token_orc
+from queuelens.llm import decontaminate, mixing, near_dedup, quality_rules, token_orc
 from queuelens.llm.common import stored, table
 
 
@@ -17,6 +17,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.one_of_each(docs)
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
@@ -29,7 +33,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_orc.encode_documents(docs)
 
 
-STAGES = [("quality", quality), ("decontaminate", clean), ("mix", mixed), ("tokens", tokens)]
+STAGES = [("quality", quality), ("near_dedup", near), ("decontaminate", clean), ("mix", mixed), ("tokens", tokens)]
 
 #: The tokenizer has no SQL form; tests check the stages one by one instead.
 ORACLE_SQL = None

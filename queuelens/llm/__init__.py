@@ -1,12 +1,28 @@
 """Operators for training-data pipelines; nothing else in the library imports them."""
 
-from queuelens.llm import chat_format, decontaminate, mixing, quality_rules, token_orc
+from queuelens.llm import (
+    chat_format,
+    decontaminate,
+    license_scan,
+    mixing,
+    near_dedup,
+    paragraph_dedup,
+    pii,
+    quality_rules,
+    suffix_repeats,
+    token_orc,
+)
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_host_quality": quality_rules.op2_host_quality,
+    "op3_suffix_repeats": suffix_repeats.op3_suffix_repeats,
     "op4_chat_events": chat_format.op4_chat_events,
+    "op5_boosted_pii": pii.op5_boosted_pii,
+    "op6_paragraph_bands": paragraph_dedup.op6_paragraph_bands,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_setsketch_dedup": near_dedup.op8_setsketch_dedup,
+    "op9_license_join": license_scan.op9_license_join,
     "op10_token_orc": token_orc.op10_token_orc,
 }
 

@@ -10,7 +10,9 @@ anchor. This module finds, without moving any text, which anchors need work:
 * ``ask``: the region is the first of its kind, but other documents hold
   different regions under the same anchor, so its windows must be compared;
 * ``hot``: as ``ask``, for an anchor with very many different regions. Its
-  windows are compared by a keyed aggregation rather than in one task.
+  windows are compared by a keyed aggregation rather than in one task;
+* ``first`` (where asked for): the first of a region that has copies and needs
+  no other work.
 
 Entries travel as packed arrays, dealt out by anchor. Repeats are combined
 inside each batch first: of equal regions only the smallest id is sent on, and
@@ -27,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-COPY, ASK, HOT = 0, 1, 2
+COPY, ASK, HOT, FIRST = 0, 1, 2, 3
 #: Different regions of an anchor above which it is hot: in a batch, and in all.
 HOT_IN_BATCH, HOT_IN_ALL = 16, 2000
 _OPEN, _MARK = -1, np.uint32(0xFFFFFFFF)
+#: Set in an entry's index: its region has copies inside the entry's batch.
+_COPIED = np.uint32(1 << 31)
 ENTRY = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("idx", "<u4")])
 
 PACKED = "bucket int, kind int, a binary, g binary, entry binary"
@@ -51,7 +55,7 @@ def _spread(flags: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(flags, np.arange(len(flags)), 0))
 
 
-def resolve(a: np.ndarray, g: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def resolve(a: np.ndarray, g: np.ndarray, e: np.ndarray, firsts: bool) -> tuple[np.ndarray, np.ndarray]:
     """Entries and verdicts of whole anchor groups (marks included)."""
     marks = e["idx"] == _MARK
     hot_anchors = np.unique(a[marks])
@@ -69,13 +73,19 @@ def resolve(a: np.ndarray, g: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np
     hot = ((regions > HOT_IN_ALL) | marked)[of_a]
     kind = np.where(copy, COPY, np.where(hot, HOT, ASK)).astype(np.int32)
     chosen = copy | work
+    if firsts:
+        of_g = np.cumsum(new_g) - 1
+        copied = np.maximum.reduceat(copy | (e["idx"] & _COPIED > 0), np.flatnonzero(new_g))[of_g]
+        kind[copied & ~chosen] = FIRST
+        chosen |= copied
+    e["idx"] &= ~_COPIED
     return e[chosen], kind[chosen]
 
 
 def _combine(a: np.ndarray, g: np.ndarray, e: np.ndarray):
     """Inside one batch: (open entries, settled entries with their kinds)."""
     a, g, e, new_a, new_g = _groups(a, g, e)
-    of_a = np.cumsum(new_a) - 1
+    of_a, of_g = np.cumsum(new_a) - 1, np.cumsum(new_g) - 1
     hot = (np.bincount(of_a, new_g) > HOT_IN_BATCH)[of_a]
     copy = e["doc"] > e["doc"][_spread(new_g)]
     settled = copy | hot
@@ -83,6 +93,7 @@ def _combine(a: np.ndarray, g: np.ndarray, e: np.ndarray):
     mark = e[hot & new_a].copy()
     mark["idx"] = _MARK
     left = ~settled
+    e["idx"][left & np.maximum.reduceat(copy, np.flatnonzero(new_g))[of_g]] |= _COPIED
     return (np.r_[a[left], a[hot & new_a]], np.r_[g[left], g[hot & new_a]], np.r_[e[left], mark]), (e[settled], kind)
 
 
@@ -136,7 +147,7 @@ def _by_document(e: np.ndarray, kind: np.ndarray) -> pa.Table:
                      "idx": pa.array([idx[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary())})
 
 
-def _resolve_bucket(block: pa.Table) -> pa.Table:
+def _resolve_bucket(block: pa.Table, firsts: bool) -> pa.Table:
     kinds = block.column("kind").to_numpy()
     joined = {n: [x or b"" for x in block.column(n).to_pylist()] for n in ("a", "g", "entry")}
     opened = np.flatnonzero(kinds == _OPEN)
@@ -144,18 +155,18 @@ def _resolve_bucket(block: pa.Table) -> pa.Table:
     def cat(name: str, rows: np.ndarray, dtype) -> np.ndarray:
         return np.frombuffer(b"".join(joined[name][i] for i in rows), dtype)
 
-    parts = [resolve(cat("a", opened, "<u8"), cat("g", opened, "<u8"), cat("entry", opened, ENTRY))]
+    parts = [resolve(cat("a", opened, "<u8"), cat("g", opened, "<u8"), cat("entry", opened, ENTRY), firsts)]
     for kind in (COPY, HOT):
         e = cat("entry", np.flatnonzero(kinds == kind), ENTRY)
         parts.append((e, np.full(len(e), kind, np.int32)))
     return _by_document(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
 
-def anchor_verdicts(docs: DataFrame, find: Callable, buckets: int) -> DataFrame:
+def anchor_verdicts(docs: DataFrame, find: Callable, buckets: int, firsts: bool = False) -> DataFrame:
     """(doc_id, crc, kind, idx): for each document the indexes (packed 32-bit)
-    of its anchors that are copies, asks or hot. ``docs``: doc_id, text."""
+    of its anchors that are copies, asks, hot or (``firsts``) first. ``docs``: doc_id, text."""
     packed = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(pack(find, buckets), PACKED)
-    return packed.groupBy("bucket").applyInArrow(_resolve_bucket, VERDICTS)
+    return packed.groupBy("bucket").applyInArrow(lambda block: _resolve_bucket(block, firsts), VERDICTS)
 
 
 def bucket_count(docs: DataFrame, bytes_each: int) -> int:
