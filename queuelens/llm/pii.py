@@ -230,7 +230,7 @@ def labelled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 x.append(features(*again))
                 y.append(True)
                 of.append(i)
-    return np.array(x, float).reshape(len(x), -1), np.array(y, float), np.array(of, int)
+    return np.array(x or np.empty((0, 1)), float), np.array(y, float), np.array(of, int)
 
 
 class SpanModel:
