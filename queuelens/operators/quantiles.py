@@ -1,23 +1,21 @@
-"""Exact quantiles (linear interpolation) without one task holding a group.
+"""Exact quantiles (linear interpolation) with bounded work per task.
 
 Spark's exact ``percentile`` keeps a value->count map per group and merges all
-of a group's maps in one task; on a global group that is every distinct value
-of the column in one place. Here each requested quantile is found in three
-bounded steps:
-
-1. per group: row count ``n`` and a GK sketch (``percentile_approx``) read at
-   ``p -/+ margin``; these bracket the two ranks the interpolation needs (a
-   group no larger than the sketch accuracy is bracketed whole);
-2. one scan, partially aggregated per task: rows below a bracket are counted,
-   rows inside it are counted per distinct value (a hot value is one row per
-   task before the shuffle);
-3. per (group, quantile): running counts over the bracket's distinct values
-   (bounded by the sketch's rank error) locate the values at ranks
-   ``floor(p(n-1))`` and ``ceil(p(n-1))``; the result is interpolated.
-
-A bracket that misses its rank raises instead of returning a wrong value.
-The interpolation is ``lo + (hi - lo) * frac`` (NumPy "linear",
-SQL ``quantile_cont``), equal to them up to the last bits.
+of a group's maps in one task; a sketch's partial results meet in one task
+too. Here each needed rank is closed in by plain counts:
+
+1. one pass counts each group and takes its smallest and largest value;
+2. the open value range of a group is cut into BINS equal parts; rows are
+   counted per (group, range, part), partially in each task first, and the parts
+   that hold a needed rank become the next, narrower ranges (their own smallest
+   and largest values);
+3. a range is done when it is a single value, or holds at most BINS rows: then
+   its distinct values are counted and the rank is read off.
+
+No task sees more than BINS rows per group, range and map task. What reaches
+the driver is one row per group and needed rank; more than MAX_GROUPS groups
+raise an error. The interpolation is ``lo + (hi - lo) * frac`` (NumPy "linear",
+SQL ``quantile_cont``).
 """
 
 from __future__ import annotations
@@ -26,118 +24,122 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Sketch accuracy grows with the largest group so that a bracket holds about
-# this many ranks; memory of the sketch stays within the given bounds.
-TARGET_BRACKET = 20_000
-MIN_ACCURACY, MAX_ACCURACY = 10_000, 2_000_000
-# Bracket half-width in units of 1/accuracy: the sketch's rank error (1) plus
-# the gap between its rank (p*n) and the interpolation ranks floor/ceil(p*(n-1))
-# (at most 3 ranks, < 3/accuracy of a group larger than the accuracy), plus slack.
-MARGIN = 6.0
-BROADCAST_GROUPS = 100_000
+BINS = 65_536
+#: Groups are splits, subsets or series: few. Their brackets pass through the driver.
+MAX_GROUPS = 10_000
 
 
-def _accuracy(n_max: int) -> int:
-    return int(min(MAX_ACCURACY, max(MIN_ACCURACY, math.ceil(n_max / TARGET_BRACKET))))
+class _Range:
+    """An open value range of one group: its rows and the ranks it holds."""
+
+    def __init__(self, group: int, low: float, high: float, below: int, rows: int, ranks: set[int]):
+        self.group, self.low, self.high, self.below, self.rows, self.ranks = group, low, high, below, rows, ranks
+
+
+def _keyed(df: DataFrame, value: str | Column, by: list[str]) -> DataFrame:
+    v = F.col(value) if isinstance(value, str) else value
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    return df.select(key.alias("g"), v.cast("double").alias("v")).where(F.col("v").isNotNull())
+
+
+def _in_ranges(data: DataFrame, groups: list, ranges: list[_Range]) -> DataFrame:
+    """Rows inside the ranges, tagged with the range's number. The table of
+    ranges has at most one row per group and needed rank."""
+    key_type = data.schema["g"].dataType
+    schema = T.StructType([T.StructField("rg", key_type), T.StructField("r", T.IntegerType()),
+                           T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
+    table = data.sparkSession.createDataFrame(
+        [(groups[x.group], i, x.low, x.high) for i, x in enumerate(ranges)], schema)
+    inside = data["g"].eqNullSafe(table["rg"]) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
+    return data.join(F.broadcast(table), inside).select("r", "v", "lo", "hi")
+
+
+def _located(counted: DataFrame, order: str, ranges: list[_Range]) -> list:
+    """Of counted parts (r, <order>, c, lo, hi), those that hold a needed rank."""
+    running = Window.partitionBy("r").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = counted.withColumn("end", F.sum("c").over(running))
+    wanted = counted.sparkSession.createDataFrame(
+        [(i, k - x.below) for i, x in enumerate(ranges) for k in sorted(x.ranks)], "wr int, k long")
+    hit = (F.col("r") == F.col("wr")) & (F.col("k") >= F.col("end") - F.col("c")) & (F.col("k") < F.col("end"))
+    return ends.join(F.broadcast(wanted), hit).select("r", "k", "lo", "hi", "c", "end").collect()
+
+
+def values_at_ranks(df: DataFrame, value: str | Column, ranks, by: list[str] | None = None) -> dict:
+    """``{group: (rows, {rank: value})}`` for 0-based ``ranks(rows)`` of each
+    group (a tuple of the ``by`` values), NULL values left out."""
+    by = list(by or [])
+    data = _keyed(df, value, by)
+    stats = data.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).limit(
+        MAX_GROUPS + 1).collect()
+    if len(stats) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    groups = [s["g"] for s in stats]
+    found: list[dict[int, float]] = [{} for _ in stats]
+    open_ranges = [_Range(i, s["lo"], s["hi"], 0, s["n"], set(ranks(s["n"]))) for i, s in enumerate(stats)]
+    while open_ranges:
+        for x in open_ranges:
+            if x.low == x.high:
+                found[x.group].update(dict.fromkeys(x.ranks, x.low))
+        open_ranges = [x for x in open_ranges if x.low < x.high]
+        small = [x for x in open_ranges if x.rows <= BINS]
+        if small:
+            counted = _in_ranges(data, groups, small).groupBy("r", "v").agg(F.count("*").alias("c")).select(
+                "r", F.col("v").alias("lo"), F.col("v").alias("hi"), "c")
+            for h in _located(counted, "lo", small):
+                x = small[h["r"]]
+                found[x.group][h["k"] + x.below] = h["lo"]
+        large = [x for x in open_ranges if x.rows > BINS]
+        if not large:
+            break
+        # Halves first, so that the width of a very wide range stays finite.
+        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        part = F.least(F.floor(share * BINS).cast("int"), F.lit(BINS - 1))
+        counted = _in_ranges(data, groups, large).groupBy("r", part.alias("part")).agg(
+            F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        narrower: dict[tuple, _Range] = {}
+        for h in _located(counted, "part", large):
+            x = large[h["r"]]
+            below = x.below + h["end"] - h["c"]
+            narrower.setdefault((x.group, below), _Range(x.group, h["lo"], h["hi"], below, h["c"], set())
+                                ).ranks.add(h["k"] + x.below)
+        open_ranges = list(narrower.values())
+    return {tuple(groups[i]) if by else (): (s["n"], found[i]) for i, s in enumerate(stats)}
+
+
+def _interpolated(df: DataFrame, value: str | Column, probs: list[float], by: list[str]) -> dict[tuple, list[float]]:
+    def ranks(n: int) -> list[int]:
+        return [r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))]
+
+    out = {}
+    for group, (n, at) in values_at_ranks(df, value, ranks, by).items():
+        pos = [p * (n - 1) for p in probs]
+        out[group] = [at[math.floor(x)] + (at[math.ceil(x)] - at[math.floor(x)]) * (x - math.floor(x)) for x in pos]
+    return out
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, probs: list[float],
                     by: list[str] | None = None) -> DataFrame:
-    """Long form: ``by..., qi (index into probs), quantile`` (NULL on empty groups)."""
+    """Long form: ``by..., qi (index into probs), quantile``; groups without a value have no row."""
     by = list(by or [])
-    v = F.col(value) if isinstance(value, str) else value
-    data = df.select(*by, v.cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    grp = by or ["__g"]
-    if not by:
-        data = data.withColumn("__g", F.lit(0))
-
-    # -- step 1: counts and sketch brackets (one small row per group). The
-    # sketch starts at the minimum accuracy; only a group too large for it
-    # (bracket over TARGET_BRACKET ranks) triggers a second, finer sketch.
-    def brackets(acc: int) -> DataFrame:
-        eps = MARGIN / acc
-        probes = []
-        for p in probs:
-            probes += [max(0.0, p - eps), min(1.0, p + eps)]
-        sketch = data.groupBy(*grp).agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.percentile_approx("__v", probes, acc).alias("__sk"),
-        )
-        # A group no larger than the accuracy is its own bracket (bounded by it).
-        small = F.col("__n") <= F.lit(acc)
-        edges = sketch.select(
-            *grp, "__n",
-            *[F.when(small | (F.lit(probs[i] - eps) <= 0), F.lit(float("-inf")))
-              .otherwise(F.col("__sk")[2 * i]).alias(f"__lo{i}") for i in range(len(probs))],
-            *[F.when(small | (F.lit(probs[i] + eps) >= 1), F.lit(float("inf")))
-              .otherwise(F.col("__sk")[2 * i + 1]).alias(f"__hi{i}") for i in range(len(probs))],
-        ).cache()
-        return edges
-
-    edges = brackets(MIN_ACCURACY)
-    groups, n_max = edges.agg(F.count(F.lit(1)), F.max("__n")).first()
-    acc = _accuracy(n_max or 0)
-    if acc > MIN_ACCURACY:
-        edges.unpersist()
-        edges = brackets(acc)
-    edges_side = F.broadcast(edges) if groups <= BROADCAST_GROUPS else edges
-
-    # -- step 2: below-bracket counts and in-bracket value counts, one scan
-    tagged = data.join(edges_side, grp, "inner")
-    marks = F.array(*[
-        F.when(F.col("__v") < F.col(f"__lo{i}"), F.struct(F.lit(i).alias("qi"), F.lit(None).cast("double").alias("x")))
-        .when(F.col("__v") <= F.col(f"__hi{i}"), F.struct(F.lit(i).alias("qi"), F.col("__v").alias("x")))
-        for i in range(len(probs))
-    ])
-    counts = (
-        tagged.select(*grp, F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("m"))
-        .groupBy(*grp, F.col("m.qi").alias("qi"), F.col("m.x").alias("x"))
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-
-    # -- step 3: locate the two ranks inside each bracket, interpolate
-    w = Window.partitionBy(*grp, "qi").orderBy(F.col("x").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("__end", F.sum("c").over(w)).withColumn("__start", F.col("__end") - F.col("c"))
-    targets = edges.select(
-        *grp, "__n",
-        F.explode(F.array(*[
-            F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)
-        ])).alias("t"),
-    ).select(*grp, "__n", "t.qi", "t.p")
-    pos = F.col("p") * (F.col("__n") - 1).cast("double")
-    targets = targets.withColumn("__pos", pos).withColumn("__rlo", F.floor("__pos")).withColumn(
-        "__rhi", F.ceil("__pos"))
-    hit = ranked.join(targets, grp + ["qi"], "inner").where(F.col("x").isNotNull())
-
-    def at(rank: str) -> Column:
-        inside = (F.col("__start") <= F.col(rank)) & (F.col(rank) < F.col("__end"))
-        return F.min(F.when(inside, F.col("x")))
-
-    located = hit.groupBy(*grp, "qi", "__pos", "__rlo").agg(
-        at("__rlo").alias("__xlo"), at("__rhi").alias("__xhi"))
-    frac = F.col("__pos") - F.col("__rlo")
-    checked = F.when(
-        F.col("__xlo").isNull() | F.col("__xhi").isNull(),
-        F.raise_error(F.lit("quantile bracket missed its rank")),
-    ).otherwise(F.col("__xlo") + (F.col("__xhi") - F.col("__xlo")) * frac)
-    out = located.select(*grp, "qi", checked.cast("double").alias("quantile"))
-    # Empty groups never reach ``counts``; they keep a NULL quantile.
-    allq = targets.select(*grp, "qi").join(out, grp + ["qi"], "left")
-    return allq.drop("__g") if not by else allq
+    rows = [(*g, i, q) for g, qs in _interpolated(df, value, probs, by).items() for i, q in enumerate(qs)]
+    schema = T.StructType([*df.select(*by).schema.fields, T.StructField("qi", T.IntegerType()),
+                           T.StructField("quantile", T.DoubleType())])
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def quantiles_wide(df: DataFrame, value: str | Column, named: dict[str, float],
                    by: list[str] | None = None, digits: int | None = None) -> DataFrame:
-    """One column per named quantile (``{'p50': 0.5, ...}``), one row per group."""
+    """One column per named quantile (``{'p50': 0.5, ...}``), one row per group
+    (without ``by`` always one row, NULL on an empty input)."""
     by = list(by or [])
-    names, probs = list(named), list(named.values())
-    long = exact_quantiles(df, value, probs, by)
-    cols = []
-    for i, name in enumerate(names):
-        q = F.max(F.when(F.col("qi") == i, F.col("quantile")))
-        cols.append((F.round(q, digits) if digits is not None else q).alias(name))
-    if by:
-        return long.groupBy(*by).agg(*cols)
-    return long.agg(*cols)
+    found = _interpolated(df, value, list(named.values()), by)
+    rows = [(*g, *qs) for g, qs in found.items()]
+    if not by and not rows:
+        rows = [(None,) * len(named)]
+    schema = T.StructType([*df.select(*by).schema.fields, *[T.StructField(k, T.DoubleType()) for k in named]])
+    out = df.sparkSession.createDataFrame(rows, schema)
+    if digits is None:
+        return out
+    return out.select(*by, *[F.round(k, digits).alias(k) for k in named])

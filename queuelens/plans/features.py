@@ -16,11 +16,9 @@ and, for the counts, filtered at the scan):
        LEFT JOIN machine_capacity ON schedule_machine
        LEFT JOIN backlog          ON minute bucket of submit_ts
 
-All three right sides are aggregates. The per-minute table is bounded by the
-trace's time span; it is counted and broadcast below a limit. Job counts and
-machine capacity are left to the planner: broadcast from a (size-bounded)
-estimate or AQE's measured size, else a sort-merge join with skew splitting,
-so a hot job, machine or minute is split instead of landing in one task.
+All three right sides are aggregates and are joined only when one of their
+columns is asked for: broadcast from a (size-bounded) estimate or AQE's
+measured size, else a sort-merge join.
 """
 
 from __future__ import annotations
@@ -33,12 +31,10 @@ from queuelens.functions.time import (
     MINUTES_PER_DAY, day_index, hour_index, minute_bucket, minute_index, seconds_between,
 )
 from queuelens.operators.first_value import first_by, last_by
-from queuelens.operators.materialize import reuse
 from queuelens.operators.prefix_sum import running_sum
 from queuelens.sources.schemas import FEATURE_COLUMNS, SCHEDULE, SUBMIT
 
 KEYS = ["job_id", "task_index"]
-BROADCAST_MINUTES = 2_000_000      # about 64 MB of (minute, counts, backlog) rows
 
 
 def minute_events(task_events: DataFrame) -> DataFrame:
@@ -142,54 +138,59 @@ def feature_base(rollup: DataFrame) -> DataFrame:
     )
 
 
+# Columns that each side of the joins gives.
+_SIDES = {
+    "counts": {"job_task_count"},
+    "capacity": {"machine_cpu_capacity", "machine_memory_capacity"},
+    "load": {"backlog_estimate", "submits_same_minute", "schedules_same_minute"},
+}
+
+
 def build_features(task_events: DataFrame, machine_events: DataFrame,
-                   rollup_reuse: str = "none") -> DataFrame:
-    """The 24-column feature table, one row per schedulable task.
+                   columns: list[str] | None = None) -> DataFrame:
+    """The 24-column feature table, one row per schedulable task, or the named
+    ``columns`` of it; a side is joined only when one of its columns is asked
+    for. The plan is lazy: building it starts no job.
 
-    ``rollup_reuse`` can keep the task rollup (operators.materialize) when a
-    caller reads it more than once; the plan itself reads it once.
+    The per-minute side has one row per minute of the trace's span. AQE
+    broadcasts each side from its measured size, else joins by key.
     """
-    rollup = reuse(task_rollup(task_events), rollup_reuse)
-    counts = job_task_counts(task_events)
-    capacity = machine_capacity(machine_events).withColumnRenamed("machine_id", "schedule_machine")
-    # One row per minute of the trace's span (about 42k for a month): bounded by
-    # time, not by data volume. It is kept, counted, and broadcast below the
-    # limit, so the task rows are never shuffled by minute; above it the join
-    # stays keyed (AQE splits a hot minute).
-    load = reuse(backlog(task_events), "persist").withColumnRenamed("minute_bucket", "submit_bucket")
-    if load.count() <= BROADCAST_MINUTES:
-        load = F.broadcast(load)
-
-    base = feature_base(rollup).withColumn("submit_bucket", minute_bucket(F.col("submit_ts")))
-    joined = (
-        base.join(counts, "job_id", "left")
-        .join(capacity, "schedule_machine", "left")
-        .join(load, "submit_bucket", "left")
-    )
+    columns = list(columns or FEATURE_COLUMNS)
+    joined = feature_base(task_rollup(task_events)).withColumn("submit_bucket", minute_bucket(F.col("submit_ts")))
+    if _SIDES["counts"] & set(columns):
+        joined = joined.join(job_task_counts(task_events), "job_id", "left")
+    if _SIDES["capacity"] & set(columns):
+        capacity = machine_capacity(machine_events).withColumnRenamed("machine_id", "schedule_machine")
+        joined = joined.join(capacity, "schedule_machine", "left")
+    if _SIDES["load"] & set(columns):
+        load = backlog(task_events).withColumnRenamed("minute_bucket", "submit_bucket")
+        joined = joined.join(load, "submit_bucket", "left")
     sub = F.col("submit_ts")
     cpu = F.coalesce(F.col("cpu_request"), F.lit(0.0))
     ram = F.coalesce(F.col("ram_request"), F.lit(0.0))
     disk = F.coalesce(F.col("disk_request"), F.lit(0.0))
-    out = joined.select(
-        "job_id", "task_index", "submit_ts", "schedule_ts", "schedule_machine",
-        "priority", "scheduling_class",
-        cpu.alias("cpu_request"), ram.alias("ram_request"), disk.alias("disk_request"),
-        F.coalesce("different_machine_constraint", F.lit(0)).alias("different_machine_constraint"),
-        F.coalesce("has_missing_info", F.lit(0)).alias("has_missing_info"),
-        F.coalesce("job_task_count", F.lit(0).cast("bigint")).alias("job_task_count"),
-        seconds_between(sub, F.col("schedule_ts")).alias("queue_delay_seconds"),
-        day_index(sub).alias("submit_day"),
-        hour_index(sub).alias("submit_hour"),
-        minute_index(sub).alias("submit_minute"),
-        F.coalesce("capacity_cpu", F.lit(0.0)).alias("machine_cpu_capacity"),
-        F.coalesce("capacity_memory", F.lit(0.0)).alias("machine_memory_capacity"),
-        F.coalesce("pending_estimate", F.lit(0).cast("bigint")).alias("backlog_estimate"),
-        F.coalesce("submits", F.lit(0).cast("bigint")).alias("submits_same_minute"),
-        F.coalesce("schedules", F.lit(0).cast("bigint")).alias("schedules_same_minute"),
-        (cpu + ram + disk).alias("request_sum"),
-        split_label(F.col("job_id")).alias("split"),
-    )
-    return out.select(*FEATURE_COLUMNS)
+
+    def count(name: str):
+        return F.coalesce(name, F.lit(0).cast("bigint"))
+
+    made = {
+        "cpu_request": lambda: cpu, "ram_request": lambda: ram, "disk_request": lambda: disk,
+        "different_machine_constraint": lambda: F.coalesce("different_machine_constraint", F.lit(0)),
+        "has_missing_info": lambda: F.coalesce("has_missing_info", F.lit(0)),
+        "job_task_count": lambda: count("job_task_count"),
+        "queue_delay_seconds": lambda: seconds_between(sub, F.col("schedule_ts")),
+        "submit_day": lambda: day_index(sub),
+        "submit_hour": lambda: hour_index(sub),
+        "submit_minute": lambda: minute_index(sub),
+        "machine_cpu_capacity": lambda: F.coalesce("capacity_cpu", F.lit(0.0)),
+        "machine_memory_capacity": lambda: F.coalesce("capacity_memory", F.lit(0.0)),
+        "backlog_estimate": lambda: count("pending_estimate"),
+        "submits_same_minute": lambda: count("submits"),
+        "schedules_same_minute": lambda: count("schedules"),
+        "request_sum": lambda: cpu + ram + disk,
+        "split": lambda: split_label(F.col("job_id")),
+    }
+    return joined.select(*[(made[c]() if c in made else F.col(c)).alias(c) for c in columns])
 
 
 def feature_summary(features: DataFrame) -> DataFrame:
@@ -199,10 +200,3 @@ def feature_summary(features: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("rows"), F.avg("queue_delay_seconds").alias("avg_queue_delay"))
         .orderBy("split")
     )
-
-
-def write_features(features: DataFrame, path: str, partition_by_split: bool = True) -> str:
-    """K1 (see sources.parquet.write_features)."""
-    from queuelens.sources.parquet import write_features as _write
-
-    return _write(features, path, partition_by_split)

@@ -7,7 +7,6 @@ cluster conf does not set them.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,19 +49,19 @@ def build_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this conf must point at shared storage and is only read.
-    When it is unset (local tests), a fresh scratch folder is created.
+    On a cluster this conf must point at shared storage; it is only read, and
+    an unset one raises. With a local master (tests) a fresh scratch folder is
+    created instead.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="queuelens-ckpt-")
+        configured = local_scratch(spark.sparkContext.master)
         spark.conf.set("spark.checkpoint.dir", configured)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -70,6 +69,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def local_scratch(master: str) -> str:
+    """A scratch folder for a local master; raises for any other."""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"spark.checkpoint.dir is not set; master {master} needs a folder all executors share")
+    return tempfile.mkdtemp(prefix="queuelens-ckpt-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediates."""
-    return os.path.join(checkpoint_dir(spark), name)
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"

@@ -28,34 +28,36 @@ select US(o_orderdate) + (l_partkey * 7919 % 86400) * 1000000 as timestamp,
        cast(null as bigint) as machine_id, 0 as event_type,
        concat('user', cast(o_custkey as varchar(20))) as user_name,
        cast(o_custkey % 4 as int) as scheduling_class,
-       case when l_linenumber = 7 then null else cast(substr(o_orderpriority, 1, 1) as int) end as priority,
+       case when l_linenumber = 7 then null
+            else cast(substr(o_orderpriority, 1, 1) as int) + 5 * cast(l_partkey % 13 as int) end as priority,
        case when l_linenumber = 6 then null else l_quantity / 50.0 end as cpu_request,
        l_discount as ram_request,
        case when l_linenumber = 5 then null else l_tax end as disk_request,
        l_returnflag = 'R' as different_machine_constraint
 from {lineitem} join {orders} on l_orderkey = o_orderkey
 union all
-select US(l_shipdate) + (l_suppkey * 104729 % 86400) * 1000000, cast(null as bigint),
-       l_orderkey, cast(l_linenumber as bigint), l_suppkey, 1,
+select US(o_orderdate) + (l_partkey * 7919 % 86400) * 1000000 + DELAY, cast(null as bigint),
+       l_orderkey, cast(l_linenumber as bigint),
+       case when l_suppkey % 10 = 9 then l_suppkey + 1000000 else l_suppkey end, 1,
        cast(null as varchar(20)), cast(l_suppkey % 4 as int),
        case when l_linenumber = 7 then 7 end, l_quantity / 50.0, l_discount, l_tax,
        cast(null as boolean)
-from {lineitem}
+from {lineitem} join {orders} on l_orderkey = o_orderkey
 union all
-select US(l_shipdate) + (l_suppkey * 104729 % 86400) * 1000000 + cast(l_quantity as bigint) * 60000000,
+select US(o_orderdate) + (l_partkey * 7919 % 86400) * 1000000 + DELAY + cast(l_quantity as bigint) * 60000000,
        cast(null as bigint), l_orderkey, cast(l_linenumber as bigint), l_suppkey,
        case when l_linenumber = 7 then 9 when l_returnflag = 'N' then 4 when l_returnflag = 'A' then 5 else 2 end,
        cast(null as varchar(20)), cast(null as int), cast(null as int), l_quantity / 50.0, l_discount, l_tax,
        false
-from {lineitem}""",
+from {lineitem} join {orders} on l_orderkey = o_orderkey""",
     "machine_events": """
 select cast(0 as bigint) as timestamp, s_suppkey as machine_id, 0 as event_type, 'p0' as platform_id,
        (s_suppkey % 4 + 1) / 4.0e0 as capacity_cpu, abs(s_acctbal) / 10000.0e0 as capacity_memory
-from {supplier} where s_suppkey % 10 <> 9
+from {supplier}
 union all
 select cast(1000000000000000 as bigint), s_suppkey, 2, 'p0',
        case when s_suppkey % 3 = 0 then null else 1.0e0 end, 0.5e0
-from {supplier} where s_suppkey % 10 <> 9""",
+from {supplier}""",
     "job_events": """
 select US(o_orderdate) as timestamp, cast(null as bigint) as missing_info, o_orderkey as job_id,
        0 as event_type, concat('user', cast(o_custkey as varchar(20))) as user_name,
@@ -69,7 +71,7 @@ from {supplier} join {nation} on s_nationkey = n_nationkey""",
     "task_constraints": """
 select US(l_shipdate) as timestamp, l_orderkey as job_id, cast(l_linenumber as bigint) as task_index,
        'brand' as attribute_name, p_brand as attribute_value, cast(p_size % 4 as int) as comparison_operator
-from {lineitem} join {part} on l_partkey = p_partkey where l_returnflag = 'R'""",
+from {lineitem} join {part} on l_partkey = p_partkey""",
     "task_usage": """
 select US(l_shipdate) as start_time, US(l_shipdate) + 300000000 as end_time, l_orderkey as job_id,
        cast(l_linenumber as bigint) as task_index, l_suppkey as machine_id,
@@ -84,8 +86,14 @@ from {lineitem}""",
 
 _US = re.compile(r"US\((\w+)\)")
 
+# Queueing delay of a task in microseconds: whole seconds from 1 s to about two
+# days, skewed, with ties, on both sides of the label clip. Some schedules name
+# machines that do not exist (the joins' misses).
+DELAY = "(1 + (l_suppkey % 97) * (l_suppkey % 97) * (1 + l_partkey % 7) * (1 + l_linenumber % 3)) * 1000000"
+
 
 def _render(text: str, engine: str) -> str:
+    text = text.replace("DELAY", DELAY)
     if engine == "spark":
         return _US.sub(r"unix_micros(cast(\1 as timestamp))", text)
     if engine == "duckdb":
@@ -108,10 +116,6 @@ def adapter_frames(spark: SparkSession, sf_dir: str, names=None) -> dict[str, Da
     return out
 
 
-def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return adapter_frames(spark, sf_dir, [name])[name]
-
-
 def duckdb_ctes(*names: str) -> str:
     """``WITH`` prefix defining the named adapter views for the DuckDB oracle."""
     parts = [f"{n} AS ({_render(ADAPTER_SQL[n], 'duckdb')}\n)" for n in names]

@@ -2,16 +2,13 @@
 
 The empty string is NULL, fields are comma separated, there is no header and
 no type inference. Parse errors are not ignored: ``FAILFAST`` raises on a
-value that does not fit its column or a row with the wrong field count.
-Column pruning inside the CSV parser is switched off per scan by
-``strict=True`` so that malformed rows fail even when only a few columns are
-read (validation reads).
+value that does not fit its column or a row with the wrong field count. The
+parser reads every field of a row (``columnPruning`` is off for the scan), so
+malformed rows fail even when only a few columns are asked for.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +25,7 @@ def read_trace_csv(spark: SparkSession, path: str, columns: list) -> DataFrame:
         .option("emptyValue", "")
         .option("mode", "FAILFAST")
         .option("enforceSchema", "true")
+        .option("columnPruning", "false")
         .csv(path)
     )
     bools = set(boolean_columns(columns))
@@ -42,7 +40,7 @@ def _table_reader(name: str):
     columns = RAW_TABLES[name]
 
     def read(spark: SparkSession, data_dir: str) -> DataFrame:
-        return read_trace_csv(spark, os.path.join(data_dir, f"{name}.csv"), columns)
+        return read_trace_csv(spark, f"{data_dir}/{name}.csv", columns)
 
     read.__name__ = f"read_{name}"
     read.__doc__ = f"Scan {name}.csv under its fixed schema."
@@ -67,11 +65,6 @@ READERS = {
 }
 
 
-def strict_csv(spark: SparkSession, enabled: bool = True) -> None:
-    """Make every CSV scan parse all fields (malformed rows always fail)."""
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", str(not enabled).lower())
-
-
 def register_views(spark: SparkSession, data_dir: str) -> dict[str, DataFrame]:
     """Expose the six raw tables as temp views; returns the frames."""
     frames = {}
@@ -90,13 +83,16 @@ def stage_as_parquet(spark: SparkSession, data_dir: str, out_dir: str) -> dict[s
     plan, one per table in validation) into pruned, filter-pushed columnar
     reads. Parsing is strict here, so a malformed row fails the staging.
     """
-    strict_csv(spark, True)
     paths = {}
-    try:
-        for name, reader in READERS.items():
-            path = os.path.join(out_dir, f"{name}.parquet")
-            reader(spark, data_dir).write.mode("overwrite").option("compression", "zstd").parquet(path)
-            paths[name] = path
-    finally:
-        strict_csv(spark, False)
+    for name, reader in READERS.items():
+        path = f"{out_dir}/{name}.parquet"
+        reader(spark, data_dir).write.mode("overwrite").option("compression", "zstd").parquet(path)
+        paths[name] = path
     return paths
+
+
+def write_trace_csv(df: DataFrame, path: str) -> str:
+    """Write a raw table in the layout that the scans read (booleans as 0/1)."""
+    flags = [F.col(n).cast("int").alias(n) if t == "boolean" else F.col(n) for n, t in df.dtypes]
+    df.select(*flags).write.option("header", "false").option("emptyValue", "").csv(path)
+    return path

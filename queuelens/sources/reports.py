@@ -1,23 +1,32 @@
 """Small result sinks (K2, K3): text reports and JSON metrics.
 
-Only few-row results reach these writers (aggregates, top-k); they are
-collected on the driver and written as one file. Paths may be local or any
-Hadoop-compatible URI; non-local ones go through Spark's text writer.
+Only few-row results reach these writers (aggregates, top-k). They are
+collected on the driver and written as one file through Hadoop's file system
+API, so a path may be local or any URI that Spark can write. A result with
+more than MAX_ROWS rows raises instead of being cut.
 """
 
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+MAX_ROWS = 100_000
 
-def format_rows(df: DataFrame, max_rows: int = 1000) -> str:
+
+def few_rows(df: DataFrame, max_rows: int = MAX_ROWS) -> list:
+    """All rows of a small result; raises when there are more than ``max_rows``."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"a report holds at most {max_rows} rows; write larger results as a table")
+    return rows
+
+
+def format_rows(df: DataFrame, max_rows: int = MAX_ROWS) -> str:
     """Tab-separated header and rows of a small DataFrame."""
-    rows = df.limit(max_rows).collect()
     lines = ["\t".join(df.columns)]
-    for r in rows:
+    for r in few_rows(df, max_rows):
         lines.append("\t".join("" if v is None else _fmt(v) for v in r))
     return "\n".join(lines)
 
@@ -31,11 +40,14 @@ def titled_block(title: str, df: DataFrame) -> str:
 
 
 def write_text(path: str, text: str) -> str:
-    parent = os.path.dirname(path)
-    if parent:
-        os.makedirs(parent, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as fh:
-        fh.write(text)
+    spark = SparkSession.active()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
     return path
 
 
@@ -49,5 +61,5 @@ def _json_default(v):
     return str(v)
 
 
-def rows_as_dicts(df: DataFrame, max_rows: int = 1000) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.limit(max_rows).collect()]
+def rows_as_dicts(df: DataFrame, max_rows: int = MAX_ROWS) -> list[dict]:
+    return [r.asDict(recursive=True) for r in few_rows(df, max_rows)]

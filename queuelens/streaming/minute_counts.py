@@ -1,10 +1,10 @@
-"""Per-minute SUBMIT/SCHEDULE counts (A1) as a Structured Streaming query.
+"""Per-minute SUBMIT/SCHEDULE counts (A1) from a stream of task events.
 
-The same counts as the batch operator, computed incrementally from a stream
-of task events: one-minute event-time windows, a watermark that bounds the
-state kept per window, and ``update`` output so each micro-batch emits the
-windows it changed. The checkpoint (offsets and state) goes under the shared
-``spark.checkpoint.dir`` so a restarted query resumes where it stopped.
+The stream itself is stateless: each micro-batch appends the minute and kind of
+its events to a Parquet table (exactly once, by the file sink's log), in
+whatever order they come. Counts are a batch aggregation of that table, so a
+late event counts like any other and no state or driver memory grows with the
+stream. Offsets and the table lie under the shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -14,31 +14,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from queuelens.functions.time import minute_bucket
 from queuelens.session import scratch_path
 from queuelens.sources.schemas import SCHEDULE, SUBMIT
 
 
-def minute_counts(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Streaming (or batch) frame of task events -> per-minute counts."""
+def minute_marks(events: DataFrame) -> DataFrame:
+    """Streaming or batch task events -> (minute_bucket, event_type) of SUBMIT and SCHEDULE."""
+    return events.where(F.col("event_type").isin(SUBMIT, SCHEDULE)).select(
+        minute_bucket(F.col("timestamp")).alias("minute_bucket"), "event_type")
+
+
+def append_marks(spark: SparkSession, events: DataFrame, path: str | None = None) -> str:
+    """Drain the available input of a stream into the table at ``path``."""
+    path = path or scratch_path(spark, f"minutes-{uuid.uuid4().hex}")
+    query = (minute_marks(events).writeStream.format("parquet").outputMode("append")
+             .option("path", path).option("checkpointLocation", f"{path}-offsets")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return path
+
+
+def minute_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Counts per minute of everything appended so far."""
     et = F.col("event_type")
-    timed = (events.where(et.isin(SUBMIT, SCHEDULE))
-             .withColumn("event_time", F.timestamp_micros(F.col("timestamp"))))
-    if events.isStreaming:
-        timed = timed.withWatermark("event_time", watermark)
-    counts = timed.groupBy(F.window("event_time", "1 minute")).agg(
-        F.count(F.when(et == SUBMIT, 1)).alias("submits"),
-        F.count(F.when(et == SCHEDULE, 1)).alias("schedules"),
-    )
-    bucket = F.floor(F.unix_micros(F.col("window.start")) / F.lit(60_000_000)).cast("bigint")
-    return counts.select(bucket.alias("minute_bucket"), "submits", "schedules")
-
-
-def run_to_table(spark: SparkSession, counts: DataFrame, table: str) -> DataFrame:
-    """Drain the available input into a memory table and return it as a batch frame."""
-    q = (counts.writeStream.outputMode("update").format("memory").queryName(table)
-         .option("checkpointLocation", scratch_path(spark, f"stream-{uuid.uuid4().hex}"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
-    return spark.table(table)
+    marks = spark.read.schema("minute_bucket long, event_type int").parquet(path)
+    return marks.groupBy("minute_bucket").agg(F.count(F.when(et == SUBMIT, 1)).alias("submits"),
+                                              F.count(F.when(et == SCHEDULE, 1)).alias("schedules"))

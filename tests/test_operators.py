@@ -24,7 +24,7 @@ def test_exact_quantiles_heavy_ties(spark, monkeypatch):
     g = rng.integers(0, 3, n)
     df = spark.createDataFrame(pd.DataFrame({"g": g.astype("int64"), "x": x}))
     probs = [0.0, 0.1, 0.5, 0.9, 0.999, 1.0]
-    monkeypatch.setattr(Q, "MIN_ACCURACY", 50)      # force narrow brackets
+    monkeypatch.setattr(Q, "BINS", 50)      # force several refinements
     got = {(r.g, r.qi): r.quantile for r in Q.exact_quantiles(df, "x", probs, ["g"]).collect()}
     for k in range(3):
         for i, p in enumerate(probs):
@@ -34,12 +34,11 @@ def test_exact_quantiles_heavy_ties(spark, monkeypatch):
         assert glob[i] == _np_quantile(x, p)
 
 
-def test_exact_quantiles_refined_sketch(spark, monkeypatch):
+def test_exact_quantiles_many_refinements(spark, monkeypatch):
     rng = np.random.default_rng(11)
     x = np.concatenate([np.full(4000, 5.0), rng.normal(0, 10, 8000).round(3)])
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
-    monkeypatch.setattr(Q, "MIN_ACCURACY", 20)
-    monkeypatch.setattr(Q, "TARGET_BRACKET", 100)       # 12000 rows -> second, finer sketch
+    monkeypatch.setattr(Q, "BINS", 8)
     probs = [0.05, 0.33, 0.5, 0.77, 0.99]
     got = {r.qi: r.quantile for r in Q.exact_quantiles(df, "x", probs).collect()}
     for i, p in enumerate(probs):

@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
+from queuelens import catalog
 from tools.compare import close, duck, rows_of
 
-ORACLE = entry.oracle_sql()
-QUERIES = entry.queries()
+ORACLE = catalog.ORACLE
+QUERIES = {k: fn for k, fn in entry.queries().items() if k in catalog.QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -16,12 +16,12 @@ probs = st.lists(st.floats(0.0, 1.0), min_size=1, max_size=5)
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(xs=values, ps=probs)
 def test_quantiles_match_numpy(spark, xs, ps):
-    Q.MIN_ACCURACY = 20                      # narrow brackets on purpose
+    Q.BINS = 8                               # many refinements on purpose
     try:
         df = spark.createDataFrame(pd.DataFrame({"x": np.array(xs, dtype="float64")}))
         got = {r.qi: r.quantile for r in Q.exact_quantiles(df, "x", ps).collect()}
     finally:
-        Q.MIN_ACCURACY = 10_000
+        Q.BINS = 65_536
     s = np.sort(np.array(xs))
     for i, p in enumerate(ps):
         pos = p * (len(s) - 1)

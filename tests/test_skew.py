@@ -35,7 +35,7 @@ def test_hot_job_features_match_oracle(spark):
         con = duckdb.connect()
         con.register("task_events", te.toPandas())
         con.register("machine_events", fr["machine_events"].toPandas())
-        body = ",".join([O.MINUTE_CTES, O.TASK_CTES, O.FEATURE_CTES])
+        body = ",".join([O.TASK_CTES, O.LOAD_CTES, O.SIDE_CTES, O.FEATURE_CTES])
         drows = sorted(con.sql("WITH " + body + "\nSELECT * FROM features").fetchall())
         assert len(srows) == len(drows) > 0
         assert any(r[0] == 1 for r in srows)          # the hot job has feature rows
