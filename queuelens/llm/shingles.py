@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -46,3 +47,15 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 def set_key(hashes: np.ndarray) -> bytes:
     """128-bit key of a set of hashes."""
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def portions(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive texts of about ``most`` bytes together, with the number of the first."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= most):
+            size += len(texts[j])
+            j += 1
+        yield i, texts[i:j]
+        i = j
