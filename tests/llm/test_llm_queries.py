@@ -289,11 +289,12 @@ def test_mix_stays_within_one_block(spark):
     slots = {r["slot"]: r["source"] for r in got}
     assert sorted(slots) == list(range(len(slots)))
     done = collections.Counter()
-    share = {s: w / 10 for s, w in weights.items()}
-    owned = {s: round(100 * w) for s, w in share.items()}
+    counts = spark.createDataFrame(list(sizes.items()), "source string, n_rows long")
+    owned = {r["source"]: r["owned"] for r in mixing.quotas(counts, weights, 100).collect()}
+    assert sum(owned.values()) == 100 and all(abs(owned[s] - 10 * w) <= 2 for s, w in weights.items())
     for t in range(len(slots)):
         done[slots[t]] += 1
-        assert all(abs(done[s] - (t + 1) * owned[s] / 100) < 1.05 for s in sizes)
+        assert all(abs(done[s] - (t + 1) * owned[s] / 100) < 1 for s in sizes)
 
 
 def test_pipeline_stages(spark, texts):
