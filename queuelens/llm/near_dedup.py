@@ -7,17 +7,19 @@ floor(1 - log_b x). Registers of a union are the maxima of the registers, and
 equal registers are as likely as the sets are similar. Steps:
 
 1. Documents with equal sets collapse into one class (its smallest id).
-2. Bands of registers are bucket keys of the classes. Each class is paired with
-   the smallest class of a bucket, one pair per class: the partner it shares
-   most buckets with.
+2. Bands of registers are bucket keys of the classes. The hub of a bucket is the
+   member whose buckets hold most members (the base of near copies, not just
+   any copy). Each class is paired with the two hubs it shares most buckets with.
 3. The similarity of a pair is estimated from its registers by the joint
    likelihood with the known set sizes; pairs that are far less likely at the
    threshold than at the best estimate go. The rest is verified on full sets.
 4. Verified links give components. Buckets that still hold several components
    are searched in full: members outside the bucket's main component are
    compared, in blocks of bounded size, with all members of other components,
-   on registers in the task, so only likely pairs are emitted and verified.
-   Buckets of one component need no more links.
+   on registers in the task. Each hands out its most similar likely partners,
+   which are verified and joined in; rounds with four times as many partners
+   follow until all likely pairs between components are verified. Buckets of
+   one component need no more links.
 
 A pair at the threshold shares no band with probability (1 - 0.8^5)^48 < 1e-8.
 
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from queuelens.llm.common import small_side, stored, table
@@ -46,9 +48,11 @@ BASE = 1.001
 RATE = 20.0
 MIN_PERCENT = 80
 #: Log-likelihood by which the best estimate must beat the threshold to drop a pair.
-LIKELIHOOD_GAP = 18.0
+LIKELIHOOD_GAP = 10.0
 #: Members per block in the full search of a bucket.
 QUERY_BLOCK, MEMBER_BLOCK = 256, 2048
+#: Hubs tried per class; partners per query in the first round of the full search.
+HUBS, FIRST_PARTNERS = 2, 4
 
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -136,8 +140,9 @@ def _filter_pairs(min_percent: int):
     return run
 
 
-def _search_block(min_percent: int):
-    """Likely pairs between a block's queries and its members of other components."""
+def _search_block(min_percent: int, partners: int):
+    """For each of a block's queries its most similar likely members of other
+    components, ``partners`` at most; ``more`` tells that it had further ones."""
 
     def run(block: pa.Table) -> pa.Table:
         node, comp = (block.column(n).to_numpy() for n in ("node", "component"))
@@ -145,17 +150,18 @@ def _search_block(min_percent: int):
         query = block.column("query").to_numpy(zero_copy_only=False)
         regs = _rows(block.column("registers").combine_chunks())
         members = np.flatnonzero(~query)
-        found_a, found_b = [], []
+        a, b, more = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
         for q in np.flatnonzero(query):
             m = members[(comp[members] != comp[q])
                         & (np.minimum(size[members], size[q]) * 100 >= min_percent * np.maximum(size[members], size[q]))]
             if len(m):
                 m = m[likely(np.broadcast_to(regs[q], (len(m), regs.shape[1])), regs[m],
                              np.full(len(m), size[q]), size[m], min_percent)]
-                found_a.append(np.maximum(node[m], node[q]))
-                found_b.append(np.minimum(node[m], node[q]))
-        return pa.table({"a": np.concatenate([np.empty(0, np.int64), *found_a]),
-                         "b": np.concatenate([np.empty(0, np.int64), *found_b])})
+                best = m[np.lexsort((node[m], -(regs[m] == regs[q]).sum(axis=1)))[:partners]]
+                a.append(np.maximum(node[best], node[q]))
+                b.append(np.minimum(node[best], node[q]))
+                more.append(np.full(len(best), len(m) > partners))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "more": np.concatenate(more)})
 
     return run
 
@@ -175,6 +181,30 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
             .where(100 * F.col("n") >= min_percent * (F.col("both") - F.col("n"))).select("a", "b"))
 
 
+def likely_pairs(members: DataFrame, found: DataFrame, classes: DataFrame, min_percent: int,
+                 partners: int) -> DataFrame:
+    """Likely pairs (a, b, more) of classes in different components that share a bucket."""
+    labelled = stored(members.join(found, "node", "left").select(
+        "bucket", "node", F.coalesce("component", "node").alias("component")), "labelled")
+    open_buckets = stored(labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+                          .groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"),
+                                                 F.count("*").alias("parts")).where("parts > 1")
+                          .select("bucket", F.col("main.component").alias("main"), "n",
+                                  (F.col("n") - F.col("main.n")).alias("n_queries")), "open")
+    in_open = labelled.join(open_buckets, "bucket").join(classes.select("node", "n_shingles", "registers"), "node")
+    q_blocks = F.ceil(F.col("n_queries") / QUERY_BLOCK).cast("int")
+    m_blocks = F.ceil(F.col("n") / MEMBER_BLOCK).cast("int")
+    spot = F.xxhash64("node")
+    columns = ["bucket", "node", "component", "n_shingles", "registers"]
+    as_member = in_open.select(*columns, F.lit(False).alias("query"), F.pmod(spot, m_blocks).cast("int").alias("m"),
+                               F.explode(F.sequence(F.lit(0), q_blocks - 1)).alias("q"))
+    as_query = in_open.where("component <> main").select(
+        *columns, F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), m_blocks - 1)).alias("m"),
+        F.pmod(spot, q_blocks).cast("int").alias("q"))
+    return as_member.unionByName(as_query).groupBy("bucket", "m", "q").applyInArrow(
+        _search_block(min_percent, partners), "a long, b long, more boolean").distinct()
+
+
 def near_components(docs: DataFrame, width: int = 5, min_percent: int = MIN_PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -186,9 +216,12 @@ def near_components(docs: DataFrame, width: int = 5, min_percent: int = MIN_PERC
         F.any_value("registers").alias("registers")), "classes")
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
     bucket_rows = classes.select("node", F.explode(bands).alias("bucket"))
-    firsts = stored(bucket_rows.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-                    .where("first <> last").select("bucket", "first"), "firsts")
-    members = stored(bucket_rows.join(firsts, "bucket"), "members")
+    sizes = stored(bucket_rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    members = stored(bucket_rows.join(sizes, "bucket"), "members")
+    degrees = stored(members.groupBy("node").agg(F.sum("size").alias("degree")), "degrees")
+    hubs = stored(members.join(degrees, "node").groupBy("bucket").agg(
+        F.max(F.struct("degree", (-F.col("node")).alias("node"))).alias("h"))
+        .select("bucket", (-F.col("h.node")).alias("hub")), "hubs")
 
     member_of = sketched.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "set_key").join(
         classes.select("set_key", "node"), "set_key").select("doc_id", "node")
@@ -203,35 +236,25 @@ def near_components(docs: DataFrame, width: int = 5, min_percent: int = MIN_PERC
         return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(
             _filter_pairs(min_percent), "a long, b long")
 
-    best = (members.where("node <> first").groupBy("node", "first").agg(F.count("*").alias("n"))
-            .groupBy("node").agg(F.max(F.struct("n", (-F.col("first")).alias("b"))).alias("best"))
-            .select(F.col("node").alias("a"), (-F.col("best.b")).alias("b")))
-    links = stored(verified(stored(estimate(best), "pairs"), classes, docs, width, min_percent), "verified")
+    shared = members.join(hubs, "bucket").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "hub"))
+    best = shared.withColumn("rank", rank).where(F.col("rank") <= HUBS).select(
+        F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+    tested = stored(estimate(best), "pairs")
+    links = stored(verified(tested, classes, docs, width, min_percent), "verified")
     found = stored(components(links.union(twins)), "components")
-
-    # Buckets that hold several components are searched in full.
-    labelled = stored(members.join(found, "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("component")), "labelled")
-    open_buckets = stored(labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-                          .groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"),
-                                                 F.count("*").alias("parts")).where("parts > 1")
-                          .select("bucket", F.col("main.component").alias("main"), "n",
-                                  (F.col("n") - F.col("main.n")).alias("n_queries")), "open")
-    in_open = labelled.join(open_buckets, "bucket").join(classes.select("node", "n_shingles", "registers"), "node")
-    q_blocks = F.ceil(F.col("n_queries") / QUERY_BLOCK).cast("int")
-    m_blocks = F.ceil(F.col("n") / MEMBER_BLOCK).cast("int")
-    spot = F.xxhash64("node")
-    columns = ["bucket", "node", "component", "n_shingles", "registers"]
-    as_member = in_open.select(*columns, F.lit(False).alias("query"), F.pmod(spot, m_blocks).cast("int").alias("m"),
-                               F.explode(F.sequence(F.lit(0), q_blocks - 1)).alias("q"))
-    as_query = in_open.where("component <> main").select(
-        *columns, F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), m_blocks - 1)).alias("m"),
-        F.pmod(spot, q_blocks).cast("int").alias("q"))
-    more = as_member.unionByName(as_query).groupBy("bucket", "m", "q").applyInArrow(
-        _search_block(min_percent), "a long, b long").distinct()
-    late = stored(verified(stored(more, "pairs"), classes, docs, width, min_percent), "verified")
-    final = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late)),
-                   "components")
+    partners = FIRST_PARTNERS
+    while True:
+        pairs = stored(likely_pairs(members, found, classes, min_percent, partners), "likely")
+        fresh = stored(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        if fresh.isEmpty() and pairs.where("more").isEmpty():
+            break
+        more_links = stored(verified(fresh, classes, docs, width, min_percent), "verified")
+        found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                                  .union(more_links)), "components")
+        tested = stored(tested.union(fresh), "tested")
+        partners *= 4
+    final = found
     by_class = stored(classes.select("set_key", "node").join(final, "node", "left").select(
         F.col("set_key").alias("of_set"), F.coalesce("component", "node").alias("found")), "by-class")
     rows = sketched.join(by_class, F.col("set_key") == F.col("of_set"), "left")
