@@ -312,3 +312,19 @@ def test_pipeline_stages(spark, texts):
     rows = corpus_pipeline.run(spark, SF_SMALL).collect()
     assert {r["doc_id"] for r in rows} == left
     assert sum(r["n_tokens"] for r in rows) == max(r["start"] + r["n_tokens"] for r in rows)
+
+
+def test_similar_sets_joins_all_pairs():
+    rnd = random.Random(9)
+    for _ in range(40):
+        base = [frozenset(rnd.sample(range(60), rnd.randint(3, 30))) for _ in range(6)]
+        sets = {}
+        for k in range(80):
+            s = set(rnd.choice(base))
+            for _ in range(rnd.randint(0, 3)):
+                s.discard(rnd.choice(sorted(s)))
+                s.add(rnd.randint(0, 200))
+            sets[k] = frozenset(s)
+        links = [(a, b) for a in sets for b in sets if b < a
+                 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        assert _components(sets, links) == _components(sets, paragraph_dedup.similar_sets(sets))
