@@ -7,7 +7,7 @@ context, and thresholds calibrated per kind on held-out documents select the
 redactions; of overlapping selections the best stays, and base spans always do.
 
 The trees are fitted on a bounded sample of documents (SAMPLE_DOCS, in hash
-order of the id). Labels: a candidate is positive where a base rule or an
+order of id and text). Labels: a candidate is positive where a base rule or an
 assignment to a secret-like name confirms it, and where a confirmed span is
 rewritten to a spelling the base rules miss (without plus sign, with ``at`` and
 ``dot``, without quotes); other candidates are negative.
@@ -314,9 +314,13 @@ def _scan_batches(model: SpanModel):
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, base counts and digest, all spans, the redacted text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = docs.where("text IS NOT NULL").select("text", F.xxhash64("doc_id").alias("at"))
-    sample = chosen.orderBy("at", "text").limit(SAMPLE_DOCS).select("text").collect()
-    model = SpanModel([r["text"] for r in sample])
+    # Rows in a hash range that holds a few more than SAMPLE_DOCS reach the driver;
+    # repeated rows count once.
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    share = min(1.0, 1.3 * SAMPLE_DOCS / max(1, docs.count()))
+    sample = docs.where(place < F.lit(int(share * (1 << 30)))).select(place.alias("at"), "text").distinct().collect()
+    sample = sorted((r["at"], r["text"] or "") for r in sample)[:SAMPLE_DOCS]
+    model = SpanModel([text for _, text in sample])
     return docs.mapInArrow(_scan_batches(model), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
                                                  "base_sha256 string, spans string, redacted string")
 
