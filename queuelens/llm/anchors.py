@@ -29,12 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from queuelens.llm.shingles import slices
+
 COPY, ASK, HOT, FIRST = 0, 1, 2, 3
 #: Different regions of an anchor above which it is hot: in a batch, and in all.
 HOT_IN_BATCH, HOT_IN_ALL = 16, 2000
 _OPEN, _MARK = -1, np.uint32(0xFFFFFFFF)
 #: Set in an entry's index: its region has copies inside the entry's batch.
 _COPIED = np.uint32(1 << 31)
+#: Documents packed together.
+CHUNK_ROWS = 2000
 ENTRY = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("idx", "<u4")])
 
 PACKED = "bucket int, kind int, a binary, g binary, entry binary"
@@ -97,40 +101,38 @@ def _combine(a: np.ndarray, g: np.ndarray, e: np.ndarray):
     return (np.r_[a[left], a[hot & new_a]], np.r_[g[left], g[hot & new_a]], np.r_[e[left], mark]), (e[settled], kind)
 
 
-def pack(find: Callable, buckets: int, chunk_rows: int = 4000):
+def pack(find: Callable, buckets: int):
     """Arrow function over (doc_id, text): ``find(texts)`` gives (row, anchor,
     digest, index in its text) arrays; rows go out per bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, chunk_rows):
-                batch = whole.slice(at, chunk_rows)
-                texts = [(t.as_py() or "").encode() for t in batch.column(1)]
-                row, a, g, idx = find(texts)
-                if not len(row):
-                    continue
-                e = np.empty(len(row), ENTRY)
-                e["doc"] = batch.column(0).to_numpy()[row]
-                e["crc"] = np.fromiter(map(crc32, texts), np.uint32, len(texts))[row]
-                e["idx"] = idx
-                (a, g, e), (done, kinds) = _combine(a, g, e)
-                out = []
-                spot = (a % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(spot, kind="stable")
-                a, g, e, spot = a[order], g[order], e[order], spot[order]
-                cuts = np.r_[np.flatnonzero(np.r_[True, spot[1:] != spot[:-1]]), len(spot)] if len(spot) else [0]
-                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                    out.append((int(spot[i]), _OPEN, a[i:j].tobytes(), g[i:j].tobytes(), e[i:j].tobytes()))
-                for kind in (COPY, HOT):
-                    part = done[kinds == kind]
-                    if len(part):
-                        out.append((int(part["doc"][0] % buckets), kind, b"", b"", part.tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (
-                        pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
-                    names=["bucket", "kind", "a", "g", "entry"])
+        for batch in slices(batches, CHUNK_ROWS):
+            texts = [(t.as_py() or "").encode() for t in batch.column(1)]
+            row, a, g, idx = find(texts)
+            if not len(row):
+                continue
+            e = np.empty(len(row), ENTRY)
+            e["doc"] = batch.column(0).to_numpy()[row]
+            e["crc"] = np.fromiter(map(crc32, texts), np.uint32, len(texts))[row]
+            e["idx"] = idx
+            (a, g, e), (done, kinds) = _combine(a, g, e)
+            out = []
+            spot = (a % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(spot, kind="stable")
+            a, g, e, spot = a[order], g[order], e[order], spot[order]
+            cuts = np.r_[np.flatnonzero(np.r_[True, spot[1:] != spot[:-1]]), len(spot)] if len(spot) else [0]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                out.append((int(spot[i]), _OPEN, a[i:j].tobytes(), g[i:j].tobytes(), e[i:j].tobytes()))
+            for kind in (COPY, HOT):
+                part = done[kinds == kind]
+                if len(part):
+                    out.append((int(part["doc"][0] % buckets), kind, b"", b"", part.tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (
+                    pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
+                names=["bucket", "kind", "a", "g", "entry"])
 
     return run
 

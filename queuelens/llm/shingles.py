@@ -6,10 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Word hashes remembered per worker; the cache starts anew when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _HASHES: dict[bytes, int] = {}
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,3 +60,10 @@ def portions(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, lis
             j += 1
         yield i, texts[i:j]
         i = j
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, which bounds what a task unpacks at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
