@@ -17,7 +17,7 @@ equal registers are as likely as the sets are similar. Steps:
    are searched in full: members outside the bucket's main component are
    compared, in blocks of bounded size, with all members of other components,
    on registers in the task. Each hands out its most similar likely partners,
-   which are verified and joined in; rounds with four times as many partners
+   which are verified and joined in; rounds with MORE_PARTNERS times as many
    follow until all likely pairs between components are verified. Buckets of
    one component need no more links.
 
@@ -51,8 +51,8 @@ MIN_PERCENT = 80
 LIKELIHOOD_GAP = 10.0
 #: Members per block in the full search of a bucket.
 QUERY_BLOCK, MEMBER_BLOCK = 256, 2048
-#: Hubs tried per class; partners per query in the first round of the full search.
-HUBS, FIRST_PARTNERS = 2, 4
+#: Hubs tried per class; partners per query in the first round of the full search, and by how much they grow.
+HUBS, FIRST_PARTNERS, MORE_PARTNERS = 2, 8, 16
 
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -253,7 +253,7 @@ def near_components(docs: DataFrame, width: int = 5, min_percent: int = MIN_PERC
         found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b"))
                                   .union(more_links)), "components")
         tested = stored(tested.union(fresh), "tested")
-        partners *= 4
+        partners *= MORE_PARTNERS
     final = found
     by_class = stored(classes.select("set_key", "node").join(final, "node", "left").select(
         F.col("set_key").alias("of_set"), F.coalesce("component", "node").alias("found")), "by-class")
