@@ -328,3 +328,25 @@ def test_similar_sets_joins_all_pairs():
         links = [(a, b) for a in sets for b in sets if b < a
                  and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
         assert _components(sets, links) == _components(sets, paragraph_dedup.similar_sets(sets))
+
+
+def test_op6_large_anchors(spark, monkeypatch):
+    """Near paragraphs under an anchor of all documents, mostly in different blocks."""
+    rnd = random.Random(11)
+    phrases = []
+    for seed in paragraph_dedup._SEEDS:     # phrases with very small hashes, one for each band
+        words = [f"c{rnd.randint(0, 10**6)}" for _ in range(30_000)]
+        s = paragraph_dedup.shingles(shingles.word_hashes([w.encode() for w in words]))
+        at = int(np.argmin(shingles.mix64(s ^ seed)))
+        phrases += words[at:at + 5]
+    rows = []
+    for k in range(60):
+        own = [f"w{rnd.randint(0, 10**6)}" for _ in range(23)]
+        rows += [(2 * k + c, " ".join([*phrases, *own, f"{end}."])) for c, end in enumerate(("one", "other"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(paragraph_dedup, "BLOCK", 3)
+    monkeypatch.setattr(paragraph_dedup, "PIVOTS", 1)
+    got = {(r["doc_id"], r["kept"]): r["cluster"] for r in paragraph_dedup.repeated_paragraphs(docs).collect()
+           if (r["first_word"], r["n_words"]) == (0, 39)}
+    assert set(got) == {(i, i % 2 == 0) for i in range(120)}
+    assert all(got[2 * k, True] == got[2 * k + 1, False] for k in range(60)) and len(set(got.values())) == 60
