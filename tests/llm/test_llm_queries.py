@@ -350,3 +350,39 @@ def test_op6_large_anchors(spark, monkeypatch):
            if (r["first_word"], r["n_words"]) == (0, 39)}
     assert set(got) == {(i, i % 2 == 0) for i in range(120)}
     assert all(got[2 * k, True] == got[2 * k + 1, False] for k in range(60)) and len(set(got.values())) == 60
+
+
+def test_op6_shared_runs_hold_a_paragraph():
+    """Two texts around the same 50 words, whatever sentences are cut around them, share a paragraph inside."""
+    rnd = random.Random(12)
+
+    def other():
+        return [rnd.choice("abcdefgh") + str(rnd.randint(0, 99)) + rnd.choice(["", "", "", "."]) for _ in range(rnd.randint(0, 90))]
+
+    for n in range(400):
+        period = [f"r{rnd.randint(0, 9)}" for _ in range(rnd.randint(1, 24))]
+        run = [f"p{rnd.randint(0, 999)}" for _ in range(50)] if n % 2 else (period * 50)[:50]
+        found = []
+        for _ in range(2):
+            head, tail = other(), other()
+            if n % 4 == 0:          # a longer stretch of the repeated phrase in each text
+                head += (period * 90)[-rnd.randint(0, 3) * len(period):] if rnd.randint(0, 1) else []
+            words = [*head, *run, *tail]
+            text = "".join(w + rnd.choice(" \n" if rnd.random() < 0.1 else " ") for w in words)
+            _, first, end = paragraph_dedup.paragraphs(text.encode())
+            found.append({" ".join(words[a:b]) for a, b in zip(first, end, strict=True)
+                          if len(head) <= a and b <= len(head) + 50})
+            assert len(set(zip(first.tolist(), end.tolist(), strict=True))) == len(first)
+        assert found[0] & found[1]
+
+
+def test_op6_equal_regions_hold_equal_paragraphs():
+    """The same words with other line breaks are other regions when their paragraphs differ."""
+    rnd = random.Random(13)
+    words = [f"w{rnd.randint(0, 10**6)}" for _ in range(200)]
+    portion = paragraph_dedup.Portion([" ".join(words).encode(), "\n".join(" ".join(words[i:i + 30]) for i in range(0, 200, 30)).encode()])
+    r, held = portion.regions(), {}
+    for g, a, run, stop, text in zip(*(r[k].tolist() for k in ("digest", "anchor", "run", "stop", "row")), strict=True):
+        inner = tuple((portion.first[run:stop] - portion.first[run]).tolist()), tuple(
+            portion.digests(portion.first[run:stop], portion.end[run:stop]).tolist())
+        assert held.setdefault((a, g), inner) == inner
