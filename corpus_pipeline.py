@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that the caller
 writes as Parquet and rereads as the next stage's documents. All but the last
-return the columns of documents.
+return the columns of documents; the mix also their position, which is the
+order of the token files.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_orc.encode_documents(docs)
+    return token_orc.encode_documents(docs, "position")
 
 
 STAGES = [("quality", quality), ("near_dedup", near), ("decontaminate", clean), ("mix", mixed), ("tokens", tokens)]

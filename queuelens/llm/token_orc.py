@@ -1,6 +1,7 @@
 """Token ids in ORC files.
 
-Texts are dealt out by document id (range partitions, sorted inside), encoded
+Texts are dealt out by document id, or by a given column such as the position
+in a mix (range partitions, sorted inside), encoded
 with a public tokenizer and written as ORC: integer run-length encoded ids,
 row indexes, and Bloom filters on the document id, so readers take stripes in
 parallel and skip stripes by id. Each file carries its block number and each
@@ -137,10 +138,12 @@ def _encode_batches(path: str):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
-    """Write the ids of every document to ORC files in ascending id order."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, by: str | None = None) -> None:
+    """Write the ids of every document to ORC files in ascending order of ids, or of the column ``by``."""
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
-    dealt = (docs.select("doc_id", "text").repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    if by:
+        order = [F.col(by).asc_nulls_first(), *order]
+    dealt = (docs.select("doc_id", "text", *([by] if by else [])).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
              .select(F.spark_partition_id().alias("block"), F.col("doc_id").cast("long"), "text"))
     encoded = dealt.mapInArrow(_encode_batches(tokenizer or default_tokenizer()),
                                STORED)
@@ -180,8 +183,8 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
-def encode_documents(docs: DataFrame) -> DataFrame:
+def encode_documents(docs: DataFrame, by: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     path = shared_path(spark, "tokens")
-    write_tokens(docs, path)
+    write_tokens(docs, path, by=by)
     return token_index(spark, path)

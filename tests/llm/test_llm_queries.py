@@ -386,3 +386,19 @@ def test_op6_equal_regions_hold_equal_paragraphs():
         inner = tuple((portion.first[run:stop] - portion.first[run]).tolist()), tuple(
             portion.digests(portion.first[run:stop], portion.end[run:stop]).tolist())
         assert held.setdefault((a, g), inner) == inner
+
+
+def test_token_files_follow_the_mix(spark):
+    """Prefixes of the token stream hold each source in its share."""
+    sizes = {"a": 3000, "b": 900, "c": 300}
+    rows = [(i, s, f"{s} {k}") for i, (s, k) in enumerate((s, k) for s, n in sizes.items() for k in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    source = {i: s for i, s, _ in rows}
+    mixed = corpus_pipeline.mixed(spark, docs, None)
+    want = [r["doc_id"] for r in sorted(mixed.select("position", "doc_id").collect())]
+    got = [r["doc_id"] for r in sorted(corpus_pipeline.tokens(spark, mixed, None).collect(), key=lambda r: r["start"])]
+    assert got == want and set(got) == set(source)
+    total = {s: n ** 0.75 for s, n in sizes.items()}
+    for n in range(500, len(got), 100):
+        seen = collections.Counter(source[i] for i in got[:n])
+        assert all(abs(seen[s] - n * w / sum(total.values())) < 2 * mixing.BLOCK_ROWS for s, w in total.items())
