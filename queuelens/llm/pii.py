@@ -3,11 +3,14 @@
 Base rules find emails, IP addresses, cards and phone numbers. High-recall
 generators then propose overlapping spans (digit groups, addresses written out,
 assigned or long random strings). Boosted trees score each span by format and
-context, and thresholds calibrated per kind on held-out documents select the
-redactions; of overlapping selections the best stays, and base spans always do.
-
-The trees are fitted on a bounded sample of documents (SAMPLE_DOCS, in hash
-order of id and text). Labels: a candidate is positive where a base rule or an
+context, and thresholds calibrated per kind on all documents outside the
+fitting sample select the redactions; of overlapping selections the best stays, and base spans always do.
+
+The trees are fitted on a bounded sample of documents (in hash order of id and
+text): SAMPLE_DOCS of all, and SAMPLE_KIND of those with a confirmed candidate
+of each kind, so that rare kinds are in it. Of a kind all of whose confirmed
+documents would be in the sample, every third stays outside. The calibration
+counts labelled candidates per kind and score bin in Spark. Labels: a candidate is positive where a base rule or an
 assignment to a secret-like name confirms it, and where a confirmed span is
 rewritten to a spelling the base rules miss (without plus sign, with ``at`` and
 ``dot``, without quotes); other candidates are negative.
@@ -30,11 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import table
+from queuelens.llm.common import stored, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Documents of the training sample at most, and code points of each candidate's context.
 SAMPLE_DOCS, CONTEXT = 3000, 24
+#: Documents with a confirmed candidate that the training sample holds per kind at most.
+SAMPLE_KIND = 300
+#: Score bins of the calibration, each as wide as the next.
+BINS = 10_000
 #: Share of right selections that a threshold must reach on held-out documents.
 PRECISION = 0.98
 
@@ -236,17 +243,27 @@ def labelled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class SpanModel:
     """Boosted trees with one calibrated threshold per kind."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], calibrate: bool = True):
         x, y, of = labelled(texts)
-        self.trees, self.thresholds = None, {}
-        fit = of % 3 > 0            # every third text calibrates the thresholds
+        self.trees, self.thresholds = None, {k: 2.0 for k in range(len(KINDS))}
+        fit = of % 3 > 0 if calibrate else np.ones(len(of), bool)   # every third text calibrates the thresholds
         if fit.any() and 0 < y[fit].sum() < fit.sum():
             self.trees = BoostedTrees().fit(x[fit], y[fit])
-            held = ~fit
-            p = self.trees.probability(x[held]) if held.any() else np.empty(0)
-            for k in range(len(KINDS)):
-                mine = x[held, 0] == k
-                self.thresholds[k] = self._threshold(p[mine], y[held][mine])
+            if calibrate:
+                held = ~fit
+                p = self.trees.probability(x[held]) if held.any() else np.empty(0)
+                for k in range(len(KINDS)):
+                    mine = x[held, 0] == k
+                    self.thresholds[k] = self._threshold(p[mine], y[held][mine])
+
+    def calibrate(self, counts: list[tuple[int, int, int, int]]) -> None:
+        """Thresholds from (kind, score bin, candidates, confirmed ones)."""
+        for k in range(len(KINDS)):
+            mine = sorted(((b, n, good) for kind, b, n, good in counts if kind == k), reverse=True)
+            n, good = (np.cumsum([m[i] for m in mine]) for i in (1, 2))
+            # Nothing confirmed of the kind, or no precise prefix: select nothing.
+            precise = np.flatnonzero(good >= PRECISION * n) if mine and good[-1] else []
+            self.thresholds[k] = max(0.5, mine[precise[-1]][0] / BINS) if len(precise) else 2.0
 
     @staticmethod
     def _threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -311,18 +328,63 @@ def _scan_batches(model: SpanModel):
     return run
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, base counts and digest, all spans, the redacted text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _confirmed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, text) -> place and kind of each document with confirmed candidates of a kind."""
+    for batch in batches:
+        x, y, of = labelled([t.as_py() or "" for t in batch.column(1)])
+        pairs = sorted({(int(i), int(k)) for i, k in zip(of[y > 0], x[y > 0, 0], strict=True)}) if len(of) else []
+        places = batch.column(0).take(pa.array([i for i, _ in pairs], pa.int64()))
+        yield pa.RecordBatch.from_arrays([places, pa.array([k for _, k in pairs], pa.int32())], names=["place", "kind"])
+
+
+def _score_batches(model: SpanModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            x, y, _ = labelled([t.as_py() or "" for t in batch.column(0)])
+            if len(y):
+                bins = (model.trees.probability(x) * BINS).astype(int)
+                found.update(zip(x[:, 0].astype(int).tolist(), bins.tolist(), y.astype(int).tolist(), strict=True))
+        rows = [(k, b, n, n * good) for (k, b, good), n in found.items()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))],
+            names=["kind", "bin", "n", "good"])
+
+    return run
+
+
+def trained(docs: DataFrame) -> SpanModel:
+    """The model of a table: trees from the sample, thresholds from all other documents."""
     # Rows in a hash range that holds a few more than SAMPLE_DOCS reach the driver;
     # repeated rows count once.
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    place = F.xxhash64("doc_id", "text")
+    placed = docs.select(place.alias("place"), "text")
+    low = F.pmod("place", F.lit(1 << 30))
     share = min(1.0, 1.3 * SAMPLE_DOCS / max(1, docs.count()))
-    sample = docs.where(place < F.lit(int(share * (1 << 30)))).select(place.alias("at"), "text").distinct().collect()
-    sample = sorted((r["at"], r["text"] or "") for r in sample)[:SAMPLE_DOCS]
-    model = SpanModel([text for _, text in sample])
-    return docs.mapInArrow(_scan_batches(model), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
-                                                 "base_sha256 string, spans string, redacted string")
+    drawn = placed.where(low < F.lit(int(share * (1 << 30)))).select("place").distinct().collect()
+    drawn = sorted((r["place"] for r in drawn), key=lambda p: (p % (1 << 30), p))[:SAMPLE_DOCS]
+    # Of each kind the SAMPLE_KIND first places, by partial sorted prefixes of the tasks.
+    kinds = stored(placed.mapInArrow(_confirmed_batches, "place long, kind int").distinct(), "confirmed")
+    sample = set(drawn[i] for i in range(len(drawn)) if i % 3)
+    outside = set(drawn) - sample
+    for k in range(len(KINDS)):
+        first = [r["place"] for r in kinds.where(F.col("kind") == k).orderBy(low, "place").limit(SAMPLE_KIND).collect()]
+        sample |= {p for i, p in enumerate(first) if i % 3} - outside
+    inside = F.broadcast(docs.sparkSession.createDataFrame([(p,) for p in sorted(sample)], "place long"))
+    texts = placed.join(inside, "place", "left_semi").distinct().collect()
+    model = SpanModel([r["text"] or "" for r in sorted(texts, key=lambda r: (r["place"] % (1 << 30), r["place"]))], calibrate=False)
+    if model.trees is not None:
+        rest = placed.join(inside, "place", "left_anti").select("text")
+        bins = rest.mapInArrow(_score_batches(model), "kind int, bin int, n long, good long")
+        model.calibrate([tuple(r) for r in bins.groupBy("kind", "bin").agg(F.sum("n"), F.sum("good")).collect()])
+    return model
+
+
+def find_personal_data(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, base counts and digest, all spans, the redacted text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(_scan_batches(trained(docs)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
+                                                         "base_sha256 string, spans string, redacted string")
 
 
 def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -402,3 +402,19 @@ def test_token_files_follow_the_mix(spark):
     for n in range(500, len(got), 100):
         seen = collections.Counter(source[i] for i in got[:n])
         assert all(abs(seen[s] - n * w / sum(total.values())) < 2 * mixing.BLOCK_ROWS for s, w in total.items())
+
+
+def test_op5_rare_kind_keeps_its_threshold(spark, monkeypatch):
+    """A kind in few of many documents is fitted and calibrated, however small the even sample is."""
+    rnd = random.Random(14)
+
+    def text(i):
+        words = " ".join(rnd.choice(["lo", "rem", "ip", "sum"]) for _ in range(8))
+        hexes = "".join(rnd.choice("0123456789abcdef") for _ in range(32))
+        return f"{words} " + (f'token = "{hexes}"' if i % 100 == 0 else f"build {hexes}") + f" {words}"
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(3000)], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 20)
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()}
+    assert all(got[i].startswith("secret:") for i in range(0, 3000, 100))
+    assert sum("secret" in got[i] for i in got if i % 100) <= 2
