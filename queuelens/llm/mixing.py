@@ -135,9 +135,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """The rows of the mix, each document once per epoch it is read in, with
-    their ``position`` in the mix."""
-    return mix(docs.drop("position"), F.struct(*docs.drop("position").columns), weights).select("carried.*", "position")
+    """The rows of the mix, each document once per epoch it is read in."""
+    return mix(docs, F.struct("*"), weights).select("carried.*")
+
+
+def positioned_rows(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """As ``mixed_rows``, with the ``position`` of each row in the mix."""
+    return mix(docs, F.struct("*"), weights).select("carried.*", "position")
 
 
 ORACLE = r"""
