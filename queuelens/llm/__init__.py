@@ -11,6 +11,7 @@ from queuelens.llm import (
     quality_rules,
     suffix_repeats,
     token_orc,
+    word_runs,
 )
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_setsketch_dedup": near_dedup.op8_setsketch_dedup,
     "op9_license_join": license_scan.op9_license_join,
     "op10_token_orc": token_orc.op10_token_orc,
+    "op13_word_runs": word_runs.op13_word_runs,
 }
 
 ORACLE = {
@@ -31,4 +33,5 @@ ORACLE = {
     "op2_host_quality": quality_rules.ORACLE,
     "op4_chat_events": chat_format.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
+    "op13_word_runs": word_runs.ORACLE,
 }
