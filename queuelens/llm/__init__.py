@@ -9,6 +9,7 @@ from queuelens.llm import (
     paragraph_dedup,
     pii,
     quality_rules,
+    sharding,
     suffix_repeats,
     token_orc,
     word_runs,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_setsketch_dedup": near_dedup.op8_setsketch_dedup,
     "op9_license_join": license_scan.op9_license_join,
     "op10_token_orc": token_orc.op10_token_orc,
+    "op12_ring_shards": sharding.op12_ring_shards,
     "op13_word_runs": word_runs.op13_word_runs,
 }
 
@@ -33,5 +35,6 @@ ORACLE = {
     "op2_host_quality": quality_rules.ORACLE,
     "op4_chat_events": chat_format.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
+    "op12_ring_shards": sharding.ORACLE,
     "op13_word_runs": word_runs.ORACLE,
 }

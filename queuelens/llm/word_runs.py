@@ -58,16 +58,16 @@ def repair(ids: list[int], fresh: int) -> tuple[list[int], list[int], list[tuple
     age, rules = len(places), []
     while queue:
         count, old, pair = heappop(queue)
+        there = [i for i in places[pair] if symbol[i] == pair[0] and after[i] < n and symbol[after[i]] == pair[1]]
         live, taken = [], -1
-        for i in places[pair]:
-            j = after[i]
-            if i != taken and j < n and symbol[i] == pair[0] and symbol[j] == pair[1]:
+        for i in there:                 # the places that do not overlap, from the left
+            if i != taken:
                 live.append(i)
-                taken = j
+                taken = after[i]
         if len(live) < 2:
             continue
         if len(live) < -count:          # it lost places to other pairs: back into the queue
-            places[pair] = live
+            places[pair] = there
             heappush(queue, (-len(live), old, pair))
             continue
         new, made = fresh + len(rules), {}
