@@ -4,6 +4,7 @@ from queuelens.llm import (
     chat_format,
     decontaminate,
     license_scan,
+    merkle,
     mixing,
     near_dedup,
     paragraph_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_setsketch_dedup": near_dedup.op8_setsketch_dedup,
     "op9_license_join": license_scan.op9_license_join,
     "op10_token_orc": token_orc.op10_token_orc,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_ring_shards": sharding.op12_ring_shards,
     "op13_word_runs": word_runs.op13_word_runs,
 }
@@ -35,6 +37,7 @@ ORACLE = {
     "op2_host_quality": quality_rules.ORACLE,
     "op4_chat_events": chat_format.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
     "op12_ring_shards": sharding.ORACLE,
     "op13_word_runs": word_runs.ORACLE,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from queuelens.session import checkpoint_dir
@@ -47,3 +47,24 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def words_of(text: Column) -> Column:
     """Words between ASCII white space; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
+
+
+def ranked(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """``rows`` with the column ``name``: the rank from 0 of each row among those of
+    equal ``keys`` by the hash ``order`` (binary, not null).
+
+    ``rows`` is a stored table with a column ``part`` (the partition that wrote
+    it). Ranks add up cells of the hash, smaller hashes in the cell, and rows of
+    equal hash by part, so neither a hot key nor a hot hash meets in one task.
+    """
+    cell = F.substring(order, 1, 2)
+    alike = rows.groupBy(*keys, cell.alias("rank_cell"), order, "part").agg(F.count("*").alias("rank_n"))
+    below = F.sum("rank_n").over(Window.partitionBy(*keys, "rank_cell").orderBy(order, "part")) - F.col("rank_n")
+    in_cell = stored(alike.withColumn("rank_below", below), "cells")
+    cells = in_cell.groupBy(*keys, "rank_cell").agg(F.sum("rank_n").alias("rank_n"))
+    base = F.sum("rank_n").over(Window.partitionBy(*keys).orderBy("rank_cell")) - F.col("rank_n")
+    first = in_cell.join(cells.select(*keys, "rank_cell", base.alias("rank_base")), [*keys, "rank_cell"]).select(
+        *keys, order, "part", (F.col("rank_base") + F.col("rank_below")).alias("rank_first"))
+    turn = F.row_number().over(Window.partitionBy(*keys, order, "part").orderBy(F.lit(0))) - 1
+    return (rows.withColumn("rank_turn", turn).join(first, [*keys, order, "part"])
+            .withColumn(name, F.col("rank_first") + F.col("rank_turn")).drop("rank_turn", "rank_first"))

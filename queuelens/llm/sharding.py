@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import let, stored, table
+from queuelens.llm.common import let, ranked, stored, table
 from queuelens.llm.sql import CRC_TABLE, crc_of
 
 SHARDS, VNODES = 40, 64
@@ -117,24 +117,14 @@ def place(docs: DataFrame, n_shards: int = SHARDS, vnodes: int = VNODES, slack:
     rows = stored(narrow.withColumn("point", _point(name)).join(arc_of, "point").drop("point")
                   .withColumn("order", order).withColumn("part", F.spark_partition_id()), "ring-rows")
 
-    # Ranks in an arc: cells before, smaller hashes in the cell, equal ones by input partition.
-    cell = F.substring("order", 1, 2)
-    alike = rows.groupBy("arc", cell.alias("cell"), "order", "part").agg(F.count("*").alias("n"))
-    in_cell = alike.withColumn("below", F.sum("n").over(Window.partitionBy("arc", "cell").orderBy("order", "part")) - F.col("n"))
-    in_cell = stored(in_cell, "ring-cells")
-    cells = in_cell.groupBy("arc", "cell").agg(F.sum("n").alias("n"))
-    cells = cells.select("arc", "cell", (F.sum("n").over(Window.partitionBy("arc").orderBy("cell")) - F.col("n")).alias("base"))
-    start = in_cell.join(cells, ["arc", "cell"]).select("arc", "order", "part", (F.col("base") + F.col("below")).alias("first"))
-    turn = F.row_number().over(Window.partitionBy("arc", "order", "part").orderBy("size")) - 1
-    ranked = rows.withColumn("turn", turn).join(start, ["arc", "order", "part"]).withColumn("rank", F.col("first") + F.col("turn"))
-
-    counts = in_cell.groupBy("arc").agg(F.sum("n").alias("n"))
+    placed = ranked(rows, ["arc"], "order", "rank")
+    counts = rows.groupBy("arc").agg(F.count("*").alias("n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     arcs = nodes.join(counts, "arc", "left").select("arc", "shard", "walk", F.coalesce("n", F.lit(0)).alias("n"))
     plan = stored(flows(arcs, bounds(total, n_shards, slack)).groupBy("arc").agg(
         F.collect_list(F.struct("lo", "hi", "shard", "slot")).alias("flows")), "ring-flows")        # a row per virtual node
     flow = F.get(F.filter("flows", lambda f: (f["lo"] <= F.col("rank")) & (F.col("rank") < f["hi"])), F.lit(0))
-    return ranked.join(F.broadcast(plan), "arc").withColumn("flow", flow).select(
+    return placed.join(F.broadcast(plan), "arc").withColumn("flow", flow).select(
         "doc_id", "size", "text_crc32", "home", "flow.shard", (F.col("flow.slot") + F.col("rank") - F.col("flow.lo")).alias("slot"),
         *(["extra"] if extra is not None else []))
 
