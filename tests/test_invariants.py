@@ -12,7 +12,7 @@ def test_feature_invariants(spark):
     fr = adapter_frames(spark, SF_MID, ["task_events", "machine_events"])
     te = fr["task_events"]
     f = FP.build_features(te, fr["machine_events"]).cache()
-    assert f.count() == 45832                       # feature rows at sf0.01
+    assert f.count() == 38751                       # feature rows at sf0.01
     assert f.where(F.col("queue_delay_seconds") < 0).count() == 0
     # a job never lands in two splits
     assert f.groupBy("job_id").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0

@@ -12,7 +12,7 @@ from queuelens.plans import stages as PL
 from queuelens.sources.parquet import read_features
 
 
-SMALL_ROWS = 4599       # feature rows at sf0.001
+SMALL_ROWS = 3868       # feature rows at sf0.001
 
 
 def test_all_stages_end_to_end(spark):
