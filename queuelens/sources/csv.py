@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queuelens.sources.schemas import RAW_TABLES, boolean_columns, scan_schema
+from queuelens.sources.staged import stage_all
 
 
 def read_trace_csv(spark: SparkSession, path: str, columns: list) -> DataFrame:
@@ -78,19 +79,14 @@ def register_views(spark: SparkSession, data_dir: str) -> dict[str, DataFrame]:
 
 
 def stage_as_parquet(spark: SparkSession, data_dir: str, out_dir: str) -> dict[str, str]:
-    """Parse each raw CSV table once, strictly, and write it as ZSTD Parquet.
+    """Parse each raw CSV table once, strictly, and write it as staged Parquet.
 
     CSV cannot skip columns on disk, so every scan of a CSV table parses all
-    of it. Staging turns the later scans (three of task_events in the feature
-    plan, one per table in validation) into pruned, filter-pushed columnar
-    reads. Parsing is strict here, so a malformed row fails the staging.
+    of it. Staging turns the later scans into pruned, filter-pushed columnar
+    reads laid out by key (``sources/staged.py``). Parsing is strict here, so a
+    malformed row fails the staging.
     """
-    paths = {}
-    for name, reader in READERS.items():
-        path = f"{out_dir}/{name}.parquet"
-        reader(spark, data_dir).write.mode("overwrite").option("compression", "zstd").parquet(path)
-        paths[name] = path
-    return paths
+    return stage_all(spark, {name: lambda read=read: read(spark, data_dir) for name, read in READERS.items()}, out_dir)
 
 
 def write_trace_csv(df: DataFrame, path: str) -> str:

@@ -39,6 +39,17 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
 
 
+def sizes(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """Names and bytes of the files of a folder."""
+    fs, where = _at(spark, folder)
+    return [(f.getPath().getName(), f.getLen()) for f in fs.listStatus(where)]
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    return fs.getFileStatus(where).isDirectory()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, where = _at(spark, path)
     fs.delete(where, True)
