@@ -8,6 +8,8 @@ cluster conf does not set them.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -76,6 +78,25 @@ def local_scratch(master: str) -> str:
     return tempfile.mkdtemp(prefix="queuelens-ckpt-")
 
 
+_OWNED: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediates."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    if _OWNED:
+        _OWNED[-1].append(path)
+    return path
+
+
+@contextmanager
+def owned_scratch(spark: SparkSession) -> Iterator[None]:
+    """Own the scratch paths handed out inside the block, and delete them at its end."""
+    from queuelens.sources.files import delete
+
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        for path in reversed(_OWNED.pop()):
+            delete(spark, path)
