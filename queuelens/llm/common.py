@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from queuelens.session import checkpoint_dir
+from queuelens.sources.files import delete
 
 #: ASCII white space that separates words (space, tab, LF, VT, FF, CR).
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -30,7 +31,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     lets two branches read one result; a lost executor costs a re-read."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored tables that no later plan reads."""
+    for frame in frames:
+        delete(frame.sparkSession, frame.stored_path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

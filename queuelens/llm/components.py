@@ -1,14 +1,14 @@
 """Connected components of a link table by alternating large-star and
 small-star steps. Minima are aggregated per task first, each join has a plain
 stored table on either side (so AQE can split a hub's links), and every step
-is written to the shared folder, which cuts the lineage."""
+is written to the shared folder, which cuts the lineage; spent steps are deleted."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import stored
+from queuelens.llm.common import discard, stored
 
 
 def _state(links: DataFrame) -> tuple:
@@ -17,8 +17,8 @@ def _state(links: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for each node on a link (a, b); the component is its
-    smallest node. Null ends and links of a node to itself are left out."""
+    """Stored (node, component) for each node on a link (a, b); the component is
+    its smallest node. Null ends and links of a node to itself are left out."""
     e = stored(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
                .where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("hi") > F.col("lo"))).distinct(), "links")
     before = _state(e)
@@ -29,10 +29,13 @@ def components(links: DataFrame) -> DataFrame:
         low = stored(large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")), "low")
         small = (large.join(low, large["hi"] == low["u"]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
                  .union(low.select("u", "m")))
-        e = stored(small.distinct(), "links")
+        last, e = e, stored(small.distinct(), "links")
+        discard(last, least, large, low)
         after = _state(e)
         if after == before:
             break
         before = after
-    return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
-        e.select(F.col("lo"), F.col("lo")).distinct())
+    found = stored(e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
+        e.select(F.col("lo"), F.col("lo")).distinct()), "components")
+    discard(e)
+    return found

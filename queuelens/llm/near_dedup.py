@@ -10,18 +10,20 @@ equal registers are as likely as the sets are similar. Steps:
 2. Bands of registers are bucket keys of the classes. The hub of a bucket is the
    member whose buckets hold most members (the base of near copies, not just
    any copy). Each class is paired with the two hubs it shares most buckets with.
-3. The similarity of a pair is estimated from its registers by the joint
+3. The similarity of these pairs is estimated from their registers by the joint
    likelihood with the known set sizes; pairs that are far less likely at the
    threshold than at the best estimate go. The rest is verified on full sets.
-4. Verified links give components. Buckets that still hold several components
-   are searched in full: members outside the bucket's main component are
-   compared, in blocks of bounded size, with all members of other components,
-   on registers in the task. Each hands out its most similar likely partners,
-   which are verified and joined in; rounds with MORE_PARTNERS times as many
-   follow until all likely pairs between components are verified. Buckets of
-   one component need no more links.
-
-A pair at the threshold shares no band with probability (1 - 0.8^5)^48 < 1e-8.
+4. Verified links give components. Buckets that still hold several components are
+   searched in full, on full sets: all members outside the bucket's main component
+   against all members of other components, in tasks of bounded size. A task finds
+   pairs by the shingles of their prefixes (rarest first in the task; two near sets
+   always share one), confirms each exactly, keeps a union-find of the components
+   it has met, and gives out a spanning forest: at most a link per component it
+   read. So pairs dropped in step 3 are found here, and no link between components
+   is lost that shares a band.
+
+A pair at the threshold shares no band with probability (1 - 0.8^5)^48 < 1e-8,
+which is all that can be missed. Spent tables are deleted as the steps go on.
 
 Defined cases: a text without words has an empty set and is linked with
 nothing; documents without an id are linked with nothing and stay (their
@@ -39,9 +41,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import small_side, stored, table
+from queuelens.llm.common import discard, stored, table
 from queuelens.llm.components import components
-from queuelens.llm.shingles import set_key, shingle_set
+from queuelens.llm.shingles import set_key, shingle_sets, slices
 
 BANDS, ROWS = 48, 5
 BASE = 1.001
@@ -49,10 +51,10 @@ RATE = 20.0
 MIN_PERCENT = 80
 #: Log-likelihood by which the best estimate must beat the threshold to drop a pair.
 LIKELIHOOD_GAP = 10.0
-#: Members per block in the full search of a bucket.
-QUERY_BLOCK, MEMBER_BLOCK = 256, 2048
-#: Hubs tried per class; partners per query in the first round of the full search, and by how much they grow.
-HUBS, FIRST_PARTNERS, MORE_PARTNERS = 2, 8, 16
+#: Hubs tried per class, and classes compared with a hub in one task.
+HUBS, HUB_ROWS = 2, 1000
+#: Shingles per block in the full search of a bucket (8 bytes each).
+BLOCK_SHINGLES = 1 << 20
 
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -71,15 +73,12 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 
 def _sketch_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, keys, regs = [], [], []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), width)
-                sizes.append(len(s))
-                keys.append(set_key(s) if len(s) else None)
-                regs.append(registers(s).tobytes() if len(s) else None)
+        for batch in slices(batches):
+            sets = shingle_sets(batch.column(1), width)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())],
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()),
+                 pa.array([set_key(x) if len(x) else None for x in sets], pa.binary()),
+                 pa.array([registers(x).tobytes() if len(x) else None for x in sets], pa.binary())],
                 names=["doc_id", "n_shingles", "set_key", "registers"])
 
     return run
@@ -87,15 +86,15 @@ def _sketch_batches(width: int):
 
 def _set_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
+        for batch in slices(batches):
+            sets = shingle_sets(batch.column(1), width)
             for i in range(0, len(sets), 256):
                 some = sets[i:i + 256]
                 ends = np.cumsum([0, *map(len, some)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_key(s) for s in some], pa.binary()),
+                    [batch.column(0).slice(i, len(some)), pa.array([set_key(x) for x in some], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(some).view(np.int64)))],
-                    names=["set_key", "hashes"])
+                    names=["doc_id", "set_key", "hashes"])
 
     return run
 
@@ -128,81 +127,134 @@ def _rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), BANDS * ROWS)
 
 
-def _filter_pairs(min_percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                n_a, n_b = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
-                ok = likely(_rows(batch.column(4)), _rows(batch.column(5)), n_a, n_b, min_percent)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))],
-                                                 names=["a", "b"])
+def _hub_filter(min_percent: int):
+    """Of the classes of a hub's task, those that may reach the threshold with it by their registers."""
+    def run(rows: pa.Table) -> pa.Table:
+        node, size = rows.column("node").to_numpy(), rows.column("n_shingles").to_numpy().astype(float)
+        regs, is_hub = _rows(rows.column("registers").combine_chunks()), rows.column("is_hub").to_numpy(zero_copy_only=False)
+        hub, other = int(np.flatnonzero(is_hub)[0]), np.flatnonzero(~is_hub)
+        ok = likely(np.broadcast_to(regs[hub], (len(other), regs.shape[1])), regs[other], np.full(len(other), size[hub]),
+                    size[other], min_percent)
+        near = node[other[ok]]
+        return pa.table({"node": near, "hub": np.full(len(near), node[hub])})
 
     return run
 
 
-def _search_block(min_percent: int, partners: int):
-    """For each of a block's queries its most similar likely members of other
-    components, ``partners`` at most; ``more`` tells that it had further ones."""
+def _near(a: np.ndarray, b: np.ndarray, min_percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= min_percent * (len(a) + len(b) - both)
+
+
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    lists = column.combine_chunks()
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _hub_verify(min_percent: int):
+    """Of the classes of a hub's task, those whose full sets reach the threshold with the hub's."""
+    def run(rows: pa.Table) -> pa.Table:
+        node, sets = rows.column("node").to_numpy(), _arrays(rows.column("hashes"))
+        is_hub = rows.column("is_hub").to_numpy(zero_copy_only=False)
+        hub = int(np.flatnonzero(is_hub)[0])
+        near = node[[k for k in np.flatnonzero(~is_hub) if _near(sets[k], sets[hub], min_percent)]]
+        return pa.table({"a": near, "b": np.full(len(near), node[hub])}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
+    return run
+
+
+def spanning_links(sets: list[np.ndarray], component: np.ndarray, query: np.ndarray, member: np.ndarray,
+                   min_percent: int) -> list[tuple[int, int]]:
+    """Pairs (row of a query, row of a member) of near sets that join all components
+    which some near pair of a query and a member joins: a spanning forest."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.lexsort((np.arange(len(count)), count))] = np.arange(len(count))      # rarest first
+    value = rank[token]
+    order = np.lexsort((value, owner))
+    value, single = value[order], (count[token] == 1)[order]
+    begin = np.cumsum(sizes) - sizes
+    ranked = [value[a:a + n] for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
+    prefix = sizes + (-min_percent * sizes) // 100 + 1
+    used = (np.arange(len(value)) - begin[owner] < prefix[owner]) & ~single
+    probes = [value[a:a + n][used[a:a + n]] for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
+    listed = used & member[owner]
+    by_value = np.argsort(value[listed], kind="stable")
+    index, who = value[listed][by_value], owner[listed][by_value]
+    label = np.unique(component, return_inverse=True)[1]
+    links = []
+    for q in np.flatnonzero(query).tolist():
+        lo, hi = np.searchsorted(index, probes[q], "left"), np.searchsorted(index, probes[q], "right")
+        size = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        met, times = np.unique(who[at], return_counts=True)
+        fits = ((label[met] != label[q]) & (np.minimum(sizes[met], sizes[q]) * 100 >= min_percent * np.maximum(sizes[met], sizes[q])))
+        for m in met[fits][np.argsort(-times[fits], kind="stable")].tolist():     # most shared first
+            if label[m] != label[q] and _near(ranked[q], ranked[m], min_percent):
+                links.append((q, m))
+                label[label == label[m]] = label[q]
+    return links
+
+
+def _search_block(min_percent: int):
     def run(block: pa.Table) -> pa.Table:
-        node, comp = (block.column(n).to_numpy() for n in ("node", "component"))
-        size = block.column("n_shingles").to_numpy().astype(float)
-        query = block.column("query").to_numpy(zero_copy_only=False)
-        regs = _rows(block.column("registers").combine_chunks())
-        members = np.flatnonzero(~query)
-        a, b, more = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
-        for q in np.flatnonzero(query):
-            m = members[(comp[members] != comp[q])
-                        & (np.minimum(size[members], size[q]) * 100 >= min_percent * np.maximum(size[members], size[q]))]
-            if len(m):
-                m = m[likely(np.broadcast_to(regs[q], (len(m), regs.shape[1])), regs[m],
-                             np.full(len(m), size[q]), size[m], min_percent)]
-                best = m[np.lexsort((node[m], -(regs[m] == regs[q]).sum(axis=1)))[:partners]]
-                a.append(np.maximum(node[best], node[q]))
-                b.append(np.minimum(node[best], node[q]))
-                more.append(np.full(len(best), len(m) > partners))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "more": np.concatenate(more)})
+        node, component, role = (block.column(n).to_numpy() for n in ("node", "component", "role"))
+        links = spanning_links(_arrays(block.column("hashes")), component, role != MEMBER, role != QUERY, min_percent)
+        at = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": node[at[:, 0]], "b": node[at[:, 1]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return run
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, min_percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the threshold. Sets are
-    made anew, for documents that stand for a class on a pair only."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = stored(ends.join(classes.select("node", "set_key"), "node"), "needed")
-    texts = docs.join(small_side(needed.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    sets = texts.select("doc_id", "text").mapInArrow(_set_batches(width), "set_key binary, hashes array<long>")
-    named = stored(sets.join(needed, "set_key").dropDuplicates(["node", "set_key"]).select("node", "hashes"), "sets")
-    both = (pairs.join(named.select(F.col("node").alias("a"), F.col("hashes").alias("in_a")), "a")
-            .join(named.select(F.col("node").alias("b"), F.col("hashes").alias("in_b")), "b"))
-    shared = F.size(F.array_intersect("in_a", "in_b"))
-    return (both.select("a", "b", shared.alias("n"), (F.size("in_a") + F.size("in_b")).alias("both"))
-            .where(100 * F.col("n") >= min_percent * (F.col("both") - F.col("n"))).select("a", "b"))
-
-
-def likely_pairs(members: DataFrame, found: DataFrame, classes: DataFrame, min_percent: int,
-                 partners: int) -> DataFrame:
-    """Likely pairs (a, b, more) of classes in different components that share a bucket."""
+#: Part of a row in a task: searched for, compared with, or both.
+MEMBER, QUERY, BOTH = 0, 1, 2
+
+
+def hub_tasks(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Rows (hub, part, node, is_hub, ..) of pairs (node, hub): the classes of a hub in
+    parts of about HUB_ROWS, and the hub's own row in each part."""
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("parts"))
+    classes = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node",
+                                              F.lit(False).alias("is_hub"))
+    own = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("node"),
+                       F.lit(True).alias("is_hub"))
+    # A part may have got no class.
+    filled = classes.select("hub", "part").distinct()
+    return classes.unionByName(own.join(filled, ["hub", "part"])).join(values, "node")
+
+
+def open_tasks(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (bucket, m, q, role, ..) of the search in buckets that hold several
+    components: blocks of members against blocks of those outside the main one."""
     labelled = stored(members.join(found, "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("component")), "labelled")
-    open_buckets = stored(labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-                          .groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"),
-                                                 F.count("*").alias("parts")).where("parts > 1")
-                          .select("bucket", F.col("main.component").alias("main"), "n",
-                                  (F.col("n") - F.col("main.n")).alias("n_queries")), "open")
-    in_open = labelled.join(open_buckets, "bucket").join(classes.select("node", "n_shingles", "registers"), "node")
-    q_blocks = F.ceil(F.col("n_queries") / QUERY_BLOCK).cast("int")
-    m_blocks = F.ceil(F.col("n") / MEMBER_BLOCK).cast("int")
+        "bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component")), "labelled")
+    per = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    open_buckets = per.groupBy("bucket").agg(F.max(F.struct("n", "component", "w")).alias("main"), F.sum("w").alias("w"),
+                                             F.count("*").alias("components")).where("components > 1")
+    plan = stored(open_buckets.select("bucket", F.col("main.component").alias("main"),
+                                      F.ceil(F.col("w") / BLOCK_SHINGLES).cast("int").alias("m_blocks"),
+                                      F.ceil((F.col("w") - F.col("main.w")) / BLOCK_SHINGLES).cast("int").alias("q_blocks")), "open")
+    rows = labelled.join(plan, "bucket").withColumn("outside", F.col("component") != F.col("main"))
     spot = F.xxhash64("node")
-    columns = ["bucket", "node", "component", "n_shingles", "registers"]
-    as_member = in_open.select(*columns, F.lit(False).alias("query"), F.pmod(spot, m_blocks).cast("int").alias("m"),
-                               F.explode(F.sequence(F.lit(0), q_blocks - 1)).alias("q"))
-    as_query = in_open.where("component <> main").select(
-        *columns, F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), m_blocks - 1)).alias("m"),
-        F.pmod(spot, q_blocks).cast("int").alias("q"))
-    return as_member.unionByName(as_query).groupBy("bucket", "m", "q").applyInArrow(
-        _search_block(min_percent, partners), "a long, b long, more boolean").distinct()
+    one = (F.col("m_blocks") == 1) & (F.col("q_blocks") == 1)
+    m, q = F.pmod(spot, F.col("m_blocks")).cast("int"), F.pmod(spot, F.col("q_blocks")).cast("int")
+    each_m, each_q = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("m_blocks", "q_blocks"))
+
+    def at(m, q, role):
+        return F.struct(m.alias("m"), q.alias("q"), F.lit(role).alias("role"))
+
+    as_member = F.transform(each_q, lambda k: at(m, k, MEMBER))
+    as_query = F.transform(each_m, lambda k: at(k, q, QUERY))
+    zero = F.lit(0)
+    places = F.when(one, F.array(F.when(F.col("outside"), at(zero, zero, BOTH)).otherwise(at(zero, zero, MEMBER)))).otherwise(
+        F.when(F.col("outside"), F.concat(as_member, as_query)).otherwise(as_member))
+    dealt = rows.select("bucket", "node", "component", F.explode(places).alias("at")).select("bucket", "at.*", "node", "component")
+    out = stored(dealt, "dealt")
+    discard(labelled, plan)
+    return out.join(sets, "node")
 
 
 def near_components(docs: DataFrame, width: int = 5, min_percent: int = MIN_PERCENT) -> DataFrame:
@@ -215,49 +267,43 @@ def near_components(docs: DataFrame, width: int = 5, min_percent: int = MIN_PERC
         F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n_shingles"),
         F.any_value("registers").alias("registers")), "classes")
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
-    bucket_rows = classes.select("node", F.explode(bands).alias("bucket"))
+    bucket_rows = classes.select("node", "n_shingles", F.explode(bands).alias("bucket"))
     sizes = stored(bucket_rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     members = stored(bucket_rows.join(sizes, "bucket"), "members")
     degrees = stored(members.groupBy("node").agg(F.sum("size").alias("degree")), "degrees")
     hubs = stored(members.join(degrees, "node").groupBy("bucket").agg(
         F.max(F.struct("degree", (-F.col("node")).alias("node"))).alias("h"))
         .select("bucket", (-F.col("h.node")).alias("hub")), "hubs")
-
-    member_of = sketched.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "set_key").join(
-        classes.select("set_key", "node"), "set_key").select("doc_id", "node")
+    shared = members.join(hubs, "bucket").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "hub"))
+    pairs = stored(shared.withColumn("rank", rank).where(F.col("rank") <= HUBS).select("node", "hub"), "pairs")
+    likely_pairs = stored(hub_tasks(pairs, classes.select("node", "n_shingles", "registers")).groupBy("hub", "part").applyInArrow(
+        _hub_filter(min_percent), "node long, hub long"), "likely")
+    discard(sizes, hubs, pairs)
+
+    # The full sets of all classes that share a bucket, made once from their documents.
+    needed = degrees.join(classes.select("node", "set_key"), "node").select("node", F.col("set_key").alias("key"))
+    texts = docs.join(degrees.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    made = texts.mapInArrow(_set_batches(width), "doc_id long, set_key binary, hashes array<long>")
+    sets = stored(made.groupBy("doc_id", "set_key").agg(F.any_value("hashes").alias("hashes"))
+                  .join(needed, (F.col("doc_id") == F.col("node")) & (F.col("set_key") == F.col("key"))).select("node", "hashes"), "sets")
+
+    member_of = linkable.select("doc_id", "set_key").join(classes.select("set_key", "node"), "set_key").select("doc_id", "node")
     several = member_of.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     twins = stored(member_of.join(several, "doc_id").select(F.col("node").alias("a"), F.col("lo").alias("b"))
                    .where("a <> b").distinct(), "twins")
-
-    def estimate(pairs: DataFrame) -> DataFrame:
-        of = classes.select("node", "n_shingles", "registers")
-        a = of.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("registers").alias("r_a"))
-        b = of.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("registers").alias("r_b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(
-            _filter_pairs(min_percent), "a long, b long")
-
-    shared = members.join(hubs, "bucket").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "hub"))
-    best = shared.withColumn("rank", rank).where(F.col("rank") <= HUBS).select(
-        F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-    tested = stored(estimate(best), "pairs")
-    links = stored(verified(tested, classes, docs, width, min_percent), "verified")
-    found = stored(components(links.union(twins)), "components")
-    partners = FIRST_PARTNERS
-    while True:
-        pairs = stored(likely_pairs(members, found, classes, min_percent, partners), "likely")
-        fresh = stored(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty() and pairs.where("more").isEmpty():
-            break
-        more_links = stored(verified(fresh, classes, docs, width, min_percent), "verified")
-        found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-                                  .union(more_links)), "components")
-        tested = stored(tested.union(fresh), "tested")
-        partners *= MORE_PARTNERS
-    final = found
+    links = stored(hub_tasks(likely_pairs, sets).groupBy("hub", "part").applyInArrow(_hub_verify(min_percent), "a long, b long"), "verified")
+    found = components(links.union(twins))
+    discard(likely_pairs, degrees)
+
+    forest = stored(open_tasks(members, found, sets).groupBy("bucket", "m", "q").applyInArrow(
+        _search_block(min_percent), "a long, b long"), "forest")
+    discard(members, sets)
+    final = components(links.union(twins).union(forest))
     by_class = stored(classes.select("set_key", "node").join(final, "node", "left").select(
         F.col("set_key").alias("of_set"), F.coalesce("component", "node").alias("found")), "by-class")
-    rows = sketched.join(by_class, F.col("set_key") == F.col("of_set"), "left")
+    discard(found, links, twins, forest, classes, final)
+    rows = sketched.select("doc_id", "n_shingles", "set_key").join(by_class, F.col("set_key") == F.col("of_set"), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("found", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"))
 

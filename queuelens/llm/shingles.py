@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Word hashes remembered per worker; the cache starts anew when it is full.
@@ -45,6 +46,37 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(total)
 
 
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """``shingle_set`` of every text of a batch; each different word is hashed once."""
+    plain = pc.fill_null(texts, "").cast(pa.large_string())
+    for gap in "\t\n\x0b\x0c\r":
+        plain = pc.replace_substring(plain, gap, " ")
+    lists = pc.split_pattern(pc.ascii_lower(plain), " ")    # lower-cased last: Arrow does it wrongly on slices
+    flat = lists.flatten()
+    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(real)])
+    edges = upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    words = flat.filter(pa.array(real)).dictionary_encode()
+    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    h = known[words.indices.to_numpy()]
+    n = max(len(h) - width + 1, 0)
+    total = np.full(n, width, np.uint64)
+    for k in range(width):
+        total = mix64(total * _STEP + h[k:n + k])
+    out = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if b - a >= width:
+            out.append(np.unique(total[a:b - width + 1]))
+        elif a == b:
+            out.append(np.empty(0, np.uint64))
+        else:                       # fewer words than a shingle: all of them
+            one = np.full(1, b - a, np.uint64)
+            for k in range(a, b):
+                one = mix64(one * _STEP + h[k:k + 1])
+            out.append(one)
+    return out
+
+
 def set_key(hashes: np.ndarray) -> bytes:
     """128-bit key of a set of hashes."""
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()

@@ -418,3 +418,49 @@ def test_op5_rare_kind_keeps_its_threshold(spark, monkeypatch):
     got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()}
     assert all(got[i].startswith("secret:") for i in range(0, 3000, 100))
     assert sum("secret" in got[i] for i in got if i % 100) <= 2
+
+
+def test_op8_full_search_alone_and_in_blocks(spark, monkeypatch):
+    """Without any link from hubs the full search finds all components, in one task a bucket or in many."""
+    rnd = random.Random(21)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for k in range(25):
+            w = list(base)
+            for _ in range(rnd.choice([0, 2, 4, 7, 12])):
+                w[rnd.randrange(120)] = f"x{rnd.randint(0, 40)}"
+            rows.append((100 * g + k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = {i: set(shingles.shingle_set(t, 2).tolist()) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if b < a and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = _components(sets, links)
+    assert len(set(want.values())) > 12
+    monkeypatch.setattr(near_dedup, "LIKELIHOOD_GAP", -1e9)
+    for size in (1 << 20, 700):
+        monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", size)
+        hubs = near_dedup._hub_filter
+        monkeypatch.setattr(near_dedup, "_hub_filter", lambda percent: hubs(1000))      # no class may reach this
+        assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(docs, width=2).collect()} == want
+        monkeypatch.setattr(near_dedup, "_hub_filter", hubs)
+
+
+def test_spanning_links_join_all_pairs():
+    rnd = np.random.default_rng(8)
+    for _ in range(60):
+        bases = [rnd.integers(0, 300, rnd.integers(3, 40)) for _ in range(5)]
+        sets = []
+        for _ in range(50):
+            s = bases[rnd.integers(5)].copy()
+            s[rnd.integers(0, len(s), rnd.integers(0, 4))] = rnd.integers(0, 300)
+            sets.append(np.unique(s))
+        component = rnd.integers(0, 30, 50)
+        query, member = rnd.random(50) < 0.6, rnd.random(50) < 0.8
+        plain = [set(s.tolist()) for s in sets]
+        known = [(int(i), int(np.flatnonzero(component == component[i])[0])) for i in range(50)]
+        near = [(q, m) for q in range(50) for m in range(50) if q != m and query[q] and member[m]
+                and 100 * len(plain[q] & plain[m]) >= 80 * len(plain[q] | plain[m])]
+        got = near_dedup.spanning_links(sets, component, query, member, 80)
+        assert set(got) <= set(near) and len(got) < len(set(component))
+        pairs = [p for p in known if p[0] != p[1]]
+        assert _components(range(50), pairs + got) == _components(range(50), pairs + near)
