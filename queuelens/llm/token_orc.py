@@ -10,7 +10,8 @@ place a document in the whole token stream.
 
 Words between ASCII white space are encoded once per worker and remembered
 (bounded cache): the tokenizer's pre-tokens never cross white space, so the
-ids of a text are those of its words in order.
+ids of a text are those of its words in order, gathered for a portion of texts
+at once. A very long text is a portion of its own.
 
 Defined cases: null text is empty and gives the end id alone; null ids come
 first; rows that share an id are ordered by text and all written; an empty
@@ -23,10 +24,10 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +38,6 @@ END_ID = 1
 STORED = "block int, block_start long, n_ids int, doc_id long, ids array<int>"
 #: Words remembered per worker; the cache starts anew when it is full.
 CACHE_WORDS = 1_200_000
-#: Token ids in one Arrow batch handed back to Spark.
-BATCH_IDS = 4_000_000
 
 _ENCODERS: dict[str, tuple] = {}
 
@@ -58,56 +57,59 @@ def _encoder(path: str) -> tuple:
     return _ENCODERS[path]
 
 
-def _split_word(word: bytes) -> tuple[bytes, bytes]:
-    """A word in the form the tokenizer sees, and a closing punctuation run.
-
-    The tokenizer lower-cases and always cuts between a letter and such a run,
-    so both parts have ids of their own. Words that may hold a special token
-    stay as they are.
-    """
-    if b"<|" in word:
-        return word, b""
-    low = word.lower()
-    stem = low.rstrip(b",.!?;:")
-    return (stem, low[len(stem):]) if stem[-1:].isalpha() else (low, b"")
-
-
-def _learn(words: set[bytes], tokenizer, cache: dict[bytes, bytes]) -> None:
-    """Put the ids of new words into the cache, as packed 32-bit integers."""
-    parts = {w: _split_word(w) for w in words}
-    new = list({p for pair in parts.values() for p in pair if p and p not in cache})
-    if new:
-        found = tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        cache.update(zip(new, (array("I", e.ids).tobytes() for e in found), strict=True))
-    cache.update((w, cache[stem] + (cache[end] if end else b"")) for w, (stem, end) in parts.items())
+def _ids_of(words: list[str], path: str) -> list[bytes]:
+    """The ids of each of some different words, as packed 32-bit integers."""
+    tokenizer, cache = _encoder(path)
+    new = [w for w in words if w not in cache]
+    if len(cache) + len(new) > CACHE_WORDS:
+        cache.clear()
+        new = words
+    found = tokenizer.encode_batch_fast(new, add_special_tokens=False)
+    cache.update(zip(new, (array("I", e.ids).tobytes() for e in found), strict=True))
+    return [cache[w] for w in words]
+
+
+def encode_portion(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, each followed by the end id, and where each text ends."""
+    plain = pc.fill_null(texts, "").cast(pa.large_string())
+    for gap in "\t\n\x0b\x0c\r":
+        plain = pc.replace_substring(plain, gap, " ")
+    lists = pc.split_pattern(plain, " ")
+    flat = lists.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)
+    upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    edges = upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    words = flat.filter(real).dictionary_encode()           # each different word once
+    packed = _ids_of(words.dictionary.to_pylist(), path)
+    pool = np.frombuffer(b"".join(packed), np.uint32).view(np.int32)
+    size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    at = words.indices.to_numpy()
+    first, n = (np.cumsum(size) - size)[at], size[at]
+    total = np.concatenate([[0], np.cumsum(n)])
+    ids = pool[np.repeat(first - total[:-1], n) + np.arange(total[-1])]
+    counts = np.diff(total[edges])
+    out = np.full(len(ids) + len(texts), END_ID, np.int32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), counts)] = ids
+    return out, np.cumsum(counts + 1)
 
 
 def encode_texts(texts: Iterable[str | None], path: str) -> Iterator[np.ndarray]:
     """The ids of each text followed by the end id."""
-    tokenizer, cache = _encoder(path)
-    end = array("I", [END_ID]).tobytes()
-    for portion in _portions(texts):
-        docs = [text.encode().split() for text in portion]      # bytes.split: ASCII white space only
-        words = set(chain.from_iterable(docs))
-        new = words.difference(cache)
-        if len(cache) + 2 * len(new) > CACHE_WORDS:
-            cache.clear()
-            new = words
-        _learn(new, tokenizer, cache)
-        for doc in docs:
-            yield np.frombuffer(b"".join(chain(map(cache.__getitem__, doc), (end,))), np.uint32).view(np.int32)
-
-
-def _portions(texts: Iterable[str | None], chars: int = 1 << 22) -> Iterator[list[str]]:
-    held, size = [], 0
-    for text in texts:
-        held.append(text or "")
-        size += len(held[-1])
-        if size >= chars:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    ids, ends = encode_portion(pa.array(list(texts), pa.string()), path)
+    yield from np.split(ids, ends[:-1])
+
+
+def _portions(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive texts of about ``most`` bytes together, with the number of the first."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    i = 0
+    while i < len(texts):
+        j, held = i, 0
+        while j < len(texts) and (j == i or held + size[j] <= most):
+            held += size[j]
+            j += 1
+        yield i, texts.slice(i, j - i)
+        i = j
 
 
 def _encode_batches(path: str):
@@ -117,23 +119,16 @@ def _encode_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
         for batch in batches:
-            blocks, doc_ids = batch.column(0), batch.column(1)
-            held, sizes, total, first = [], [], 0, 0
-            texts = (x.as_py() for x in batch.column(2))
-            for i, ids in enumerate(encode_texts(texts, path)):
-                held.append(ids)
-                sizes.append(len(ids))
-                total += len(ids)
-                if total >= BATCH_IDS or i == batch.num_rows - 1:
-                    ends = np.cumsum([0, *sizes], dtype=np.int64)
-                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(held)))
-                    n = len(sizes)
-                    yield pa.RecordBatch.from_arrays(
-                        [blocks.slice(first, n), pa.array(start + ends[:-1]), pa.array(np.diff(ends).astype(np.int32)),
-                         doc_ids.slice(first, n), lists],
-                        schema=schema)
-                    start += total
-                    held, sizes, total, first = [], [], 0, i + 1
+            for i, texts in _portions(batch.column(2)):
+                ids, ends = encode_portion(texts, path)
+                begin = np.concatenate([[0], ends[:-1]])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
+                n = len(ends)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, n), pa.array(start + begin), pa.array(np.diff(ends, prepend=0).astype(np.int32)),
+                     batch.column(1).slice(i, n), lists],
+                    schema=schema)
+                start += len(ids)
 
     return run
 
