@@ -199,7 +199,8 @@ def spanning_links(sets: list[np.ndarray], component: np.ndarray, query: np.ndar
     return links
 
 
-def _search_block(min_percent: int):
+def search_block(min_percent: int):
+    """A task of ``open_tasks``: a spanning forest of links (a, b) between its components."""
     def run(block: pa.Table) -> pa.Table:
         node, component, role = (block.column(n).to_numpy() for n in ("node", "component", "role"))
         links = spanning_links(_arrays(block.column("hashes")), component, role != MEMBER, role != QUERY, min_percent)
@@ -297,7 +298,7 @@ def near_components(docs: DataFrame, width: int = 5, min_percent: int = MIN_PERC
     discard(likely_pairs, degrees)
 
     forest = stored(open_tasks(members, found, sets).groupBy("bucket", "m", "q").applyInArrow(
-        _search_block(min_percent), "a long, b long"), "forest")
+        search_block(min_percent), "a long, b long"), "forest")
     discard(members, sets)
     final = components(links.union(twins).union(forest))
     by_class = stored(classes.select("set_key", "node").join(final, "node", "left").select(
