@@ -275,9 +275,11 @@ def test_op10_round_trip(spark, texts):
         assert got[i] == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         start += len(ids)
     odd = ["á b ́x", "Σίσυφος ΣΑΣ. Σ", "x<|endoftext|>y <|ENDOFTEXT|>", "\x1c\x1d a\x85b c d　e", "İstanbul ǅ ﬁ Å",
-           "don't 's 're 12345 ½ a's. b't! 5,", "e ̧́ 가 ᄀ ᅡ", "x." * 50, "", "...", "A.B,C!"]
-    for t, ids in zip(odd, token_orc.encode_texts(odd, token_orc.default_tokenizer()), strict=True):
-        assert ids.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+           "don't 's 're 12345 ½ a's. b't! 5,", "e ̧́ 가 ᄀ ᅡ", "x." * 50, "", "...", "A.B,C!", "a.'s b,'S c;9 d:é É.e x?!.,y", "K. ſ, ÅB."]
+    # Together, where special tokens keep the words as they are, and each alone.
+    for some in (odd, *([t] for t in odd), ["<|startoftext|> x<|startoftext|>y", "plain"]):
+        for t, ids in zip(some, token_orc.encode_texts(some, token_orc.default_tokenizer()), strict=True):
+            assert ids.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
 
 
 def test_mix_stays_within_one_block(spark):
@@ -345,7 +347,7 @@ def test_op6_large_anchors(spark, monkeypatch):
         rows += [(2 * k + c, " ".join([*phrases, *own, f"{end}."])) for c, end in enumerate(("one", "other"))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     monkeypatch.setattr(paragraph_dedup, "BLOCK", 3)
-    monkeypatch.setattr(paragraph_dedup, "PIVOTS", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 400)
     got = {(r["doc_id"], r["kept"]): r["cluster"] for r in paragraph_dedup.repeated_paragraphs(docs).collect()
            if (r["first_word"], r["n_words"]) == (0, 39)}
     assert set(got) == {(i, i % 2 == 0) for i in range(120)}
