@@ -30,6 +30,7 @@ QUERIES = {
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_ring_shards": sharding.op12_ring_shards,
     "op13_word_runs": word_runs.op13_word_runs,
+    "mix_by_language": mixing.mix_by_language,
 }
 
 ORACLE = {
@@ -40,4 +41,5 @@ ORACLE = {
     "op11_merkle_manifest": merkle.ORACLE,
     "op12_ring_shards": sharding.ORACLE,
     "op13_word_runs": word_runs.ORACLE,
+    "mix_by_language": mixing.ORACLE_BY_LANGUAGE,
 }

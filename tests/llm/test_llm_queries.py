@@ -283,20 +283,43 @@ def test_op10_round_trip(spark, texts):
 
 
 def test_mix_stays_within_one_block(spark):
-    sizes = {"a": 5000, "b": 700, "c": 130, "d": 1}
+    sizes = {"a": 5000, "b": 700, "c": 130, "d": 5}
     rows = [(i, s) for s, n in sizes.items() for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, source string").selectExpr("doc_id", "cast(null as string) text", "source")
     weights = {"a": 5.0, "b": 3.0, "c": 1.5, "d": 0.5}
-    got = mixing.mix(docs, docs["doc_id"], weights, block_rows=16, period=100).select("source", "slot").distinct().collect()
-    slots = {r["slot"]: r["source"] for r in got}
+    placed = mixing.mix(docs, docs["doc_id"], weights, block_rows=16).select("source", "slot").collect()
+    slots = {r["slot"]: r["source"] for r in placed}
     assert sorted(slots) == list(range(len(slots)))
     done = collections.Counter()
     counts = spark.createDataFrame(list(sizes.items()), "source string, n_rows long")
-    owned = {r["source"]: r["owned"] for r in mixing.quotas(counts, weights, 100).collect()}
-    assert sum(owned.values()) == 100 and all(abs(owned[s] - 10 * w) <= 2 for s, w in weights.items())
+    weighted = mixing.block_weights(counts, weights, 16)
+    owned = {r["source"]: r["owned"] for r in mixing.quotas(weighted).collect()}
+    share, period = {r["source"]: r["w"] for r in weighted.collect()}, sum(owned.values())
+    assert period >= 990
+    for s, w in share.items():
+        assert abs(owned[s] / period - w / sum(share.values())) <= 4 / period
     for t in range(len(slots)):
         done[slots[t]] += 1
-        assert all(abs(done[s] - (t + 1) * owned[s] / 100) < 1 for s in sizes)
+        assert all(abs(done[s] - (t + 1) * owned[s] / period) < 1 for s in sizes)
+    # Shares of rows, not of blocks: the last source's blocks hold 5 rows.
+    of_rows = collections.Counter(r["source"] for r in placed)
+    assert all(abs(of_rows[s] / len(placed) - w / 10) < 0.02 for s, w in weights.items())
+
+
+def test_mix_of_many_small_sources(spark):
+    """More sources than the least period, one of them large: all in their shares, none cut."""
+    sizes = {"hot": 20_000, **{f"s{k:04d}": 2 + k % 3 for k in range(1200)}}
+    rows = [(i, s) for s, n in sizes.items() for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string").selectExpr("doc_id", "cast(null as string) text", "source")
+    got = mixing.mix(docs, docs["doc_id"]).select("source", "carried", "epoch").collect()
+    assert {(r["source"], r["carried"]) for r in got} == {(s, i) for i, s in rows}
+    assert len({(r["source"], r["carried"], r["epoch"]) for r in got}) == len(got)
+    weight = {s: n ** 0.75 for s, n in sizes.items()}
+    of_rows = collections.Counter(r["source"] for r in got)
+    total, mass = len(got), sum(weight.values())
+    assert abs(of_rows["hot"] / total - weight["hot"] / mass) < 0.02
+    tiny = sum(n for s, n in of_rows.items() if s != "hot") / total
+    assert abs(tiny - (mass - weight["hot"]) / mass) < 0.02
 
 
 def test_pipeline_stages(spark, texts):
@@ -398,6 +421,10 @@ def test_token_files_follow_the_mix(spark):
     source = {i: s for i, s, _ in rows}
     mixed = corpus_pipeline.mixed(spark, docs, None)
     want = [r["doc_id"] for r in sorted(mixed.select("position", "doc_id").collect())]
+    # Input columns of that name in the way keep their place.
+    again = corpus_pipeline.mixed(spark, docs.withColumn("Position", docs["doc_id"]).withColumn("position_", docs["doc_id"]), None)
+    assert again.columns == ["doc_id", "source", "text", "Position", "position_", "position__"]
+    assert [r["doc_id"] for r in sorted(corpus_pipeline.tokens(spark, again, None).collect(), key=lambda r: r["start"])] == want
     got = [r["doc_id"] for r in sorted(corpus_pipeline.tokens(spark, mixed, None).collect(), key=lambda r: r["start"])]
     assert got == want and set(got) == set(source)
     total = {s: n ** 0.75 for s, n in sizes.items()}
