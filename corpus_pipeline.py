@@ -31,7 +31,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_orc.encode_documents(docs, "position")
+    return token_orc.encode_documents(docs, mixing.placed_by(docs.columns))
 
 
 STAGES = [("quality", quality), ("near_dedup", near), ("decontaminate", clean), ("mix", mixed), ("tokens", tokens)]
