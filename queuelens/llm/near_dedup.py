@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import discard, stored, table
+from queuelens.llm.common import discard, stored, table, text_batches
 from queuelens.llm.components import components
 from queuelens.llm.shingles import set_key, shingle_sets, slices
 
@@ -54,7 +54,7 @@ LIKELIHOOD_GAP = 10.0
 #: Hubs tried per class, and classes compared with a hub in one task.
 HUBS, HUB_ROWS = 2, 1000
 #: Shingles per block in the full search of a bucket (8 bytes each).
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 19
 
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -260,6 +260,11 @@ def open_tasks(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFra
 
 def near_components(docs: DataFrame, width: int = 5, min_percent: int = MIN_PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    with text_batches(docs.sparkSession):
+        return _near_components(docs, width, min_percent)
+
+
+def _near_components(docs: DataFrame, width: int, min_percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = stored(docs.mapInArrow(
         _sketch_batches(width), "doc_id long, n_shingles long, set_key binary, registers binary"), "sketches")
