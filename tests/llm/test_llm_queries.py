@@ -490,3 +490,28 @@ def test_spanning_links_join_all_pairs():
         assert set(got) <= set(near) and len(got) < len(set(component))
         pairs = [p for p in known if p[0] != p[1]]
         assert _components(range(50), pairs + got) == _components(range(50), pairs + near)
+
+
+def test_op2_rejects_a_bad_host(spark):
+    """A host that mostly fails loses its good documents too; rates against a brute-force prior."""
+    rnd = random.Random(31)
+    good = " ".join(f"w{i}" for i in range(60))
+    failed = {f"good{k}": rnd.randint(0, 2) for k in range(30)} | {"bad": 19, "small": 2}
+    size = dict.fromkeys(failed, 20) | {"small": 2}
+    rows = [(n, f"{good} {n} {k}" if k >= failed[h] else "too few words", h)
+            for n, (h, k) in enumerate((h, k) for h in failed for k in range(size[h]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    total, bad = sum(size.values()), sum(failed.values())
+    m = bad / total
+    v = sum(failed[h] ** 2 / size[h] for h in size) / total - m * m - m * (1 - m) * len(size) / total
+    weight = min(max(m * (1 - m) / v - 1, quality_rules.MIN_PRIOR), quality_rules.MAX_PRIOR)
+    rate = {h: (failed[h] + m * weight) / (size[h] + weight) for h in size}
+    rejected = {h for h in size if round(rate[h], 6) > quality_rules.MAX_HOST_RATE}
+    assert "bad" in rejected and not any(h.startswith("good") for h in rejected)
+    kept = {r["doc_id"] for r in quality_rules.keep_good(docs).collect()}
+    assert kept == {i for i, t, h in rows if t != "too few words" and h not in rejected}
+    left_out = [i for i, t, h in rows if h == "bad" and t != "too few words"]
+    assert left_out and not kept & set(left_out)
+    measured = quality_rules.measure(docs, {"doc_id": docs["doc_id"]})
+    for r in quality_rules.host_verdicts(measured).collect():
+        assert abs(r["host_rate"] - rate[r["host"]]) < 1e-6 and r["host_rejected"] == (r["host"] in rejected)
