@@ -1,4 +1,4 @@
-"""The split hash on keys of every size, and a fixture on which filters, joins, floors and caps act."""
+"""The split hash on keys of every size, and whole fixtures on which filters, joins, floors and caps act."""
 
 import math
 import random
@@ -11,7 +11,8 @@ from queuelens import catalog
 from queuelens.functions.split import MULTIPLIER, hash_bucket, hash_halves
 from queuelens.plans import evaluation as EV
 from queuelens.plans import features as FP
-from queuelens.sources.adapters import adapter_frames
+from queuelens.plans import validation as VP
+from queuelens.sources.adapters import adapter_frames, base_frames
 
 
 def _plain(x):
@@ -40,13 +41,34 @@ def test_hash_stays_in_generated_code(spark):
     assert "*(1) Project" in plan and "BatchEvalPython" not in plan
 
 
-def test_fixture_makes_filters_and_joins_act(spark):
-    """Each of J1, P4 drops at least 5 % of its rows."""
-    rollup = FP.task_rollup(adapter_frames(spark, SF_MID, ["task_events"])["task_events"]).cache()
-    tasks, pairs, base = rollup.count(), FP.submit_schedule_pairs(rollup).count(), FP.feature_base(rollup).count()
-    assert pairs <= 0.95 * tasks and base <= 0.95 * pairs
+def test_every_line_is_a_whole_task(spark):
+    """No event, task or job of the test tables is left out."""
+    base = base_frames(spark, SF_MID)
+    lines = base["lineitem"].join(base["orders"], F.col("l_orderkey") == F.col("o_orderkey")).cache()
+    n, tasks, jobs = lines.count(), lines.select("l_orderkey", "l_linenumber").distinct().count(), lines.select("l_orderkey").distinct().count()
+    events = catalog.QUERIES["task_event_distribution"](spark, SF_MID).collect()
+    assert sum(r.rows for r in events) == 3 * n and [r.rows for r in events if r.event_type in (0, 1)] == [n, n]
+    assert sum(r.rows for r in VP.priority_histogram(catalog.task_events(spark, SF_MID), 1000).collect()) == 3 * n
+    for name in ("first_submit", "submit_schedule_join", "machine_capacity_join", "request_sum"):
+        assert catalog.QUERIES[name](spark, SF_MID).count() == tasks, name
+    counts = catalog.QUERIES["job_task_counts"](spark, SF_MID)
+    assert counts.agg(F.count("*"), F.sum("job_task_count")).first() == (jobs, tasks)
+    lines.unpersist()
+
+
+def test_filters_and_joins_act_on_misses(spark):
+    """Each of J1, P4 drops its rows: tasks without a submit or a schedule, and early schedules."""
+    whole = adapter_frames(spark, SF_MID, ["task_events"])["task_events"]
+    kind, et = F.pmod(F.xxhash64("job_id", "task_index"), F.lit(16)), F.col("event_type")
+    events = whole.where(~((kind == 0) & (et == 0)) & ~((kind == 1) & (et == 1))).withColumn(
+        "timestamp", F.when((kind == 2) & (et == 1), F.lit(0)).otherwise(F.col("timestamp")))
+    tasks = {r.kind: r.n for r in whole.select("job_id", "task_index", kind.alias("kind")).distinct().groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    rollup = FP.task_rollup(events).cache()
     lone = rollup.select(F.count_if(F.col("submit_events") == 0), F.count_if(F.col("schedule_events") == 0)).first()
-    assert min(lone) >= 0.03 * tasks
+    assert lone == (tasks[0], tasks[1]) and min(lone) > 0
+    n = sum(tasks.values())
+    assert rollup.count() == n and FP.submit_schedule_pairs(rollup).count() == n - tasks[0] - tasks[1]
+    assert FP.feature_base(rollup).count() == n - tasks[0] - tasks[1] - tasks[2]
     rollup.unpersist()
 
 
