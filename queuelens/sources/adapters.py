@@ -6,16 +6,23 @@ number), a machine is a supplier. One SQL text serves both engines; only the
 microsecond conversion of a timestamp and the table references differ.
 
 Spark side: each view is a DataFrame built by ``spark.sql`` with the base
-parquet frames passed as parameters, so no global view state is involved.
+parquet frames passed as parameters, so no global view state is involved. Task
+events take a form of their own there: lines and orders meet once, in as many
+parts as their bytes ask for, and each line then gives its three events, so that
+the work of a task and what is shuffled per event do not grow with the tables.
 DuckDB side (oracle): the same text as CTEs over the pre-registered views.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from queuelens.sources import files
 
 BASE_TABLES = ("lineitem", "orders", "supplier", "nation", "part")
 
@@ -92,6 +99,48 @@ _US = re.compile(r"US\((\w+)\)")
 DELAY = "(1 + (l_suppkey % 97) * (l_suppkey % 97) * (1 + l_partkey % 7) * (1 + l_linenumber % 3)) * 1000000"
 
 
+# The same task events from one join: per column its value in a line's submit, schedule and end.
+_SUBMITTED = "US(o_orderdate) + (l_partkey * 7919 % 86400) * 1000000"
+_EVENT_COLUMNS: dict[str, tuple[str, str, str]] = {
+    "timestamp": (_SUBMITTED, f"{_SUBMITTED} + DELAY", f"{_SUBMITTED} + DELAY + cast(l_quantity as bigint) * 60000000"),
+    "missing_info": ("case when l_linestatus = 'F' and l_linenumber = 3 then cast(2 as bigint) end", "cast(null as bigint)", "cast(null as bigint)"),
+    "job_id": ("l_orderkey",) * 3,
+    "task_index": ("cast(l_linenumber as bigint)",) * 3,
+    "machine_id": ("cast(null as bigint)", "case when l_suppkey % 10 = 9 then l_suppkey + 1000000 else l_suppkey end", "l_suppkey"),
+    "event_type": ("0", "1", "case when l_linenumber = 7 then 9 when l_returnflag = 'N' then 4 when l_returnflag = 'A' then 5 else 2 end"),
+    "user_name": ("concat('user', cast(o_custkey as varchar(20)))", "cast(null as varchar(20))", "cast(null as varchar(20))"),
+    "scheduling_class": ("cast(o_custkey % 4 as int)", "cast(l_suppkey % 4 as int)", "cast(null as int)"),
+    "priority": ("case when l_linenumber = 7 then null else cast(substr(o_orderpriority, 1, 1) as int) + 5 * cast(l_partkey % 13 as int) end",
+                 "case when l_linenumber = 7 then 7 end", "cast(null as int)"),
+    "cpu_request": ("case when l_linenumber = 6 then null else l_quantity / 50.0 end", "l_quantity / 50.0", "l_quantity / 50.0"),
+    "ram_request": ("l_discount",) * 3,
+    "disk_request": ("case when l_linenumber = 5 then null else l_tax end", "l_tax", "l_tax"),
+    "different_machine_constraint": ("l_returnflag = 'R'", "cast(null as boolean)", "false"),
+}
+_TASK_EVENTS = "select " + ",\n       ".join(
+    f"{a} as {name}" if a == b == c else f"case e when 0 then {a} when 1 then {b} else {c} end as {name}"
+    for name, (a, b, c) in _EVENT_COLUMNS.items()) + """
+from (select /*+ MERGE(o) */ * from {lineitem} l join {orders} o on l_orderkey = o_orderkey) lateral view explode(array(0, 1, 2)) as e"""
+
+#: Parquet bytes of lines and orders in one part of the task events.
+PART_BYTES = 8 << 20
+
+
+def event_parts(spark: SparkSession, sf_dir: str) -> tuple[int, bool]:
+    """Partitions that the task events lie in, by job, and whether to name them: Spark
+    merges small ones by their compressed bytes, which says little about sorted keys."""
+    size = sum(files.size(spark, os.path.join(sf_dir, f"{t}.parquet")) for t in ("lineitem", "orders"))
+    wanted, least = math.ceil(size / PART_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(wanted, least), wanted > spark.sparkContext.defaultParallelism
+
+
+def _task_events(spark: SparkSession, sf_dir: str, lines: DataFrame, orders: DataFrame) -> DataFrame:
+    n, named = event_parts(spark, sf_dir)
+    if named:
+        lines, orders = lines.repartition(n, F.col("l_orderkey")), orders.repartition(n, F.col("o_orderkey"))
+    return spark.sql(_render(_TASK_EVENTS, "spark"), lineitem=lines, orders=orders)
+
+
 def _render(text: str, engine: str) -> str:
     text = text.replace("DELAY", DELAY)
     if engine == "spark":
@@ -110,6 +159,9 @@ def adapter_frames(spark: SparkSession, sf_dir: str, names=None) -> dict[str, Da
     base = base_frames(spark, sf_dir)
     out = {}
     for name in names or ADAPTER_SQL:
+        if name == "task_events":
+            out[name] = _task_events(spark, sf_dir, base["lineitem"], base["orders"])
+            continue
         text = _render(ADAPTER_SQL[name], "spark")
         used = {t: base[t] for t in BASE_TABLES if "{" + t + "}" in text}
         out[name] = spark.sql(text, **used)
