@@ -31,17 +31,19 @@ def _table_name(path: str) -> str:
     return "staged_" + hashlib.sha256(path.encode()).hexdigest()[:16]
 
 
-def stage(df: DataFrame, path: str, key: tuple[str, list[str]] | None = None, buckets: int | None = None) -> str:
-    """Write a table as ZSTD Parquet, in ``buckets`` buckets (the session's shuffle partitions) if it has a key."""
+def stage(df: DataFrame, path: str, key: tuple[str, list[str]] | None = None, buckets: int | None = None, dealt: int | None = None) -> str:
+    """Write a table as ZSTD Parquet, in ``buckets`` buckets (the session's shuffle partitions) if it has a key.
+    Rows that are in ``dealt`` partitions by the hash of the key already are written as that many buckets, without a shuffle."""
     spark = df.sparkSession
     if key is None:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return path
     column, order = key
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = dealt or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
     # The hint lets Spark split the partition of a job with many events over several tasks.
-    (df.hint("rebalance", column).write.mode("overwrite").option("compression", "zstd").option("path", path)
+    rows = df if dealt else df.hint("rebalance", column)
+    (rows.write.mode("overwrite").option("compression", "zstd").option("path", path)
      .bucketBy(buckets, column).sortBy(*order).saveAsTable(_table_name(path)))
     spark.sql(f"DROP TABLE {_table_name(path)}")            # the files stay
     files.write_file(spark, f"{path}.layout.json", json.dumps(
@@ -74,9 +76,10 @@ def read_staged(spark: SparkSession, path: str) -> DataFrame:
     return spark.table(_table_name(path))
 
 
-def stage_all(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]], out_dir: str, buckets: int | None = None) -> dict[str, str]:
-    """Stage tables by name."""
-    return {name: stage(read(), f"{out_dir}/{name}.parquet", KEYED.get(name), buckets) for name, read in readers.items()}
+def stage_all(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]], out_dir: str, buckets: int | None = None,
+              dealt: dict[str, int] | None = None) -> dict[str, str]:
+    """Stage tables by name; ``dealt``: partitions of those that lie by their key already."""
+    return {name: stage(read(), f"{out_dir}/{name}.parquet", KEYED.get(name), buckets, (dealt or {}).get(name)) for name, read in readers.items()}
 
 
 def read_columnar(spark: SparkSession, path: str) -> DataFrame:

@@ -4,10 +4,12 @@ import datetime
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
+from queuelens import catalog
 from queuelens.plans import features as FP
 from queuelens.session import scratch_path
-from queuelens.sources import adapters, files
+from queuelens.sources import adapters, files, staged
 
 LINES = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_discount double, l_tax double, "
          "l_returnflag string, l_linestatus string, l_shipdate date")
@@ -56,3 +58,20 @@ def test_parts_follow_the_bytes(spark, folder, monkeypatch):
         plan = plan_of(FP.task_rollup(te))
         assert plan.count("FileScan") == plan.count("Exchange hashpartitioning") == 2       # none for the tasks themselves
     assert abs(parts[0] - 20) <= 1 and abs(parts[1] - 80) <= 4
+
+
+def test_dealt_rows_are_staged_without_a_shuffle(spark, folder, monkeypatch):
+    monkeypatch.setattr(adapters, "PART_BYTES", 500)
+    te = adapters.adapter_frames(spark, folder, ["task_events"])["task_events"]
+    n, named = adapters.event_parts(spark, folder)
+    assert named
+    path = scratch_path(spark, f"dealt-{uuid.uuid4().hex}.parquet")
+    staged.stage(te, path, staged.KEYED["task_events"], dealt=n)
+    written = [x for x, _ in files.sizes(spark, path) if x.endswith(".parquet")]
+    assert len(written) == len({x.split("_")[-1] for x in written})          # one file per bucket
+    again = staged.read_staged(spark, path)
+    assert again.exceptAll(te).isEmpty() and te.exceptAll(again).isEmpty()
+    assert "Exchange" not in plan_of(FP.task_rollup(again))
+    assert FP.task_rollup(again).exceptAll(FP.task_rollup(te)).isEmpty()
+    keys = catalog.QUERIES["feature_table_staged"](spark, folder).select("job_id", "task_index")
+    assert keys.count() == keys.distinct().count() == FP.feature_base(FP.task_rollup(te)).count() > 0
