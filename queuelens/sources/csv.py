@@ -90,7 +90,7 @@ def stage_as_parquet(spark: SparkSession, data_dir: str, out_dir: str) -> dict[s
 
 
 def write_trace_csv(df: DataFrame, path: str) -> str:
-    """Write a raw table in the layout that the scans read (booleans as 0/1)."""
+    """Write a raw table in the layout that the scans read (booleans as 0/1), in gzip files."""
     flags = [F.col(n).cast("int").alias(n) if t == "boolean" else F.col(n) for n, t in df.dtypes]
-    df.select(*flags).write.option("header", "false").option("emptyValue", "").csv(path)
+    df.select(*flags).write.option("header", "false").option("emptyValue", "").option("compression", "gzip").csv(path)
     return path

@@ -75,3 +75,16 @@ def test_dealt_rows_are_staged_without_a_shuffle(spark, folder, monkeypatch):
     assert FP.task_rollup(again).exceptAll(FP.task_rollup(te)).isEmpty()
     keys = catalog.QUERIES["feature_table_staged"](spark, folder).select("job_id", "task_index")
     assert keys.count() == keys.distinct().count() == FP.feature_base(FP.task_rollup(te)).count() > 0
+
+
+def test_csv_is_written_compressed(spark):
+    from queuelens.sources import csv
+
+    out = scratch_path(spark, f"gz-{uuid.uuid4().hex}")
+    df = spark.range(100).select(F.lit(0).cast("bigint").alias("timestamp"), F.col("id").alias("machine_id"), F.lit(0).alias("event_type"),
+                                 F.lit("p, \"0\"").alias("platform_id"), F.lit(0.5).alias("capacity_cpu"), F.lit(None).cast("double").alias("capacity_memory"))
+    csv.write_trace_csv(df, f"{out}/machine_events.csv")
+    names = [n for n, _ in files.sizes(spark, f"{out}/machine_events.csv") if n.startswith("part-")]
+    assert names and all(n.endswith(".csv.gz") for n in names)
+    again = csv.read_machine_events(spark, out)
+    assert again.exceptAll(df).isEmpty() and again.count() == 100
