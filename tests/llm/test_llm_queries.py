@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import struct
@@ -471,6 +472,58 @@ def test_op8_full_search_alone_and_in_blocks(spark, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(docs, width=2).collect()} == want
 
 
+def test_op8_sends_sets_of_possible_pairs_only(spark, monkeypatch):
+    """Documents that share buckets but no link are told apart by their registers; near ones are still found."""
+    rnd = random.Random(22)
+    common = [f"c{i}" for i in range(130)]
+    rows = [(i, " ".join(common + [f"d{i}w{k}" for k in range(70)])) for i in range(60)]
+    near = [f"n{i}" for i in range(150)]
+    for k in range(8):
+        w = list(near)
+        w[rnd.randrange(150)] = f"x{k}"
+        rows.append((100 + k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tasks, sent = near_dedup.open_tasks, []
+
+    def counted(members, *rest):
+        out = tasks(members, *rest)
+        sent.append((members.count(), out.where("node < 100").count(), out.where("node >= 100").count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "open_tasks", counted)
+    monkeypatch.setattr(near_dedup, "_hub_filter", lambda percent: lambda rows: rows.select(["node", "hub"]).slice(0, 0))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(docs, width=2).collect()}
+    assert got == {i: min(i, 100) for i, _ in rows}
+    # Eight near documents: rows only where pairs have their first common band.
+    assert sent[0][0] > 100 and sent[0][1] == 0 and 8 <= sent[0][2] <= 8 * 12
+
+
+def test_op8_possible_keeps_all_near_pairs():
+    rng = np.random.default_rng(9)
+    for percent in (60, 80, 95):
+        assert all(sum(math.comb(n, k) * (percent / 100) ** k * (1 - percent / 100) ** (n - k) for k in range(near_dedup.least_equal(n, percent)))
+                   <= near_dedup.MISS for n in (60, 240))
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 1 << 63, rng.integers(1, 300), dtype=np.uint64)
+        sets += [np.unique(np.r_[base[:max(1, int(len(base) * keep))], rng.integers(0, 1 << 63, rng.integers(0, 3), dtype=np.uint64)])
+                 for keep in (1, 0.95, 0.9, 0.5)]
+    regs = np.array([near_dedup.registers(s) for s in sets])
+    size = np.array([len(s) for s in sets])
+    component = rng.integers(0, 60, len(sets))
+    query, member = rng.random(len(sets)) < 0.5, rng.random(len(sets)) < 0.8
+    # All rows as one bucket, band after band: each near pair is kept in the first band that it shares.
+    keep = [near_dedup.possible(regs, size, component, query, member, band, 80) for band in range(near_dedup.BANDS)]
+    plain = [set(s.tolist()) for s in sets]
+    near = [(q, m) for q in range(len(sets)) for m in range(len(sets)) if query[q] and member[m] and component[q] != component[m]
+            and 100 * len(plain[q] & plain[m]) >= 80 * len(plain[q] | plain[m])]
+    assert near
+    for q, m in near:
+        common = (regs[q] == regs[m]).reshape(near_dedup.BANDS, near_dedup.ROWS).all(axis=1)
+        assert keep[common.argmax()][q] and keep[common.argmax()][m]
+    assert np.sum(keep) < near_dedup.BANDS * len(sets) / 10
+
+
 def test_spanning_links_join_all_pairs():
     rnd = np.random.default_rng(8)
     for _ in range(60):
