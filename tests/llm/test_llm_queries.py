@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -356,6 +357,60 @@ def test_similar_sets_joins_all_pairs():
         assert _components(sets, links) == _components(sets, paragraph_dedup.similar_sets(sets))
 
 
+def test_op6_anchors_compared_in_one_task():
+    """Blocks of several anchors against all pairs of their paragraphs."""
+    rnd = random.Random(13)
+    for _ in range(30):
+        rows, sets = [], {}
+        for a in range(4):
+            base = [[rnd.randint(0, 10**9) for _ in range(rnd.randint(21, 60))] for _ in range(4)]
+            for _ in range(rnd.randint(1, 14)):
+                values, cuts, digests = [], [], []
+                for _ in range(rnd.randint(1, 3)):
+                    s = list(rnd.choice(base)) if rnd.random() < 0.7 else [rnd.randint(0, 10**9) for _ in range(21)]
+                    for _ in range(rnd.randint(0, 6)):
+                        s[rnd.randrange(len(s))] = rnd.choice([rnd.randint(0, 10**9), s[0]])
+                    cuts += [len(values), len(values) + len(s)]
+                    values += s
+                    digests.append(hash((a, tuple(s))))
+                    sets[a, digests[-1]] = set(s)
+                rows.append({"anchor": a, "digests": digests, "cuts": cuts, "shingles": values})
+        rnd.shuffle(rows)
+        block = pa.Table.from_pylist(rows, pa.schema([("anchor", pa.int64()), ("digests", pa.list_(pa.int64())),
+                                                      ("cuts", pa.list_(pa.int32())), ("shingles", pa.list_(pa.int64()))]))
+        near = [(d, e) for a, d in sets for b, e in sets if a == b and e < d
+                and 100 * len(sets[a, d] & sets[a, e]) >= 80 * len(sets[a, d] | sets[a, e])]
+        got = paragraph_dedup._compare_block(block).to_pydict()
+        nodes = [d for _, d in sets]
+        assert set(zip(got["a"], got["b"], strict=True)) <= set(near)
+        assert _components(nodes, zip(got["a"], got["b"], strict=True)) == _components(nodes, near)
+
+
+def test_op6_no_search_for_anchors_of_a_few_hundred_regions(spark, monkeypatch):
+    """Different paragraphs around one phrase in 500 documents: compared whole, without copies for a search in blocks."""
+    rnd = random.Random(14)
+    phrases = []
+    for seed in paragraph_dedup._SEEDS:
+        words = [f"c{rnd.randint(0, 10**6)}" for _ in range(30_000)]
+        s = paragraph_dedup.shingles(shingles.word_hashes([w.encode() for w in words]))
+        at = int(np.argmin(shingles.mix64(s ^ seed)))
+        phrases += words[at:at + 5]
+    rows = []
+    for k in range(250):
+        own = [f"w{rnd.randint(0, 10**6)}" for _ in range(23)]
+        rows += [(2 * k + c, " ".join([*phrases, *own, f"{end}."])) for c, end in enumerate(("one", "other"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def no_search(*_):
+        raise AssertionError("searched in blocks")
+
+    monkeypatch.setattr(paragraph_dedup, "_links_apart", no_search)
+    got = {(r["doc_id"], r["kept"]): r["cluster"] for r in paragraph_dedup.repeated_paragraphs(docs).collect()
+           if (r["first_word"], r["n_words"]) == (0, 39)}
+    assert set(got) == {(i, i % 2 == 0) for i in range(500)}
+    assert all(got[2 * k, True] == got[2 * k + 1, False] for k in range(250)) and len(set(got.values())) == 250
+
+
 def test_op6_large_anchors(spark, monkeypatch):
     """Near paragraphs under an anchor of all documents, mostly in different blocks."""
     rnd = random.Random(11)
