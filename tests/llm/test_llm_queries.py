@@ -90,6 +90,58 @@ def test_op3_hot_anchor_path(spark, monkeypatch):
     assert got == cold and passage[3:-3] in got[0] and all(passage[3:-3] not in got[i] for i in range(1, 60))
 
 
+def test_op3_windows_of_many_regions_at_once():
+    rnd = random.Random(6)
+    data = [bytes(rnd.choice(b"abc") for _ in range(rnd.randint(50, 84))) for _ in range(40)]
+    regions = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "crc": [7] * 40, "first": [3 * i for i in range(40)], "bytes": data})
+    got = list(suffix_repeats._windows(iter([regions])))
+    want = [(d[i:i + 50], k, 7, 3 * k + i) for k, d in enumerate(data) for i in range(len(d) - 49)]
+    assert len(got) == 1 and list(zip(*got[0].to_pydict().values(), strict=True)) == want
+
+
+def test_op3_repeated_rows_and_spent_tables(spark, tmp_path, monkeypatch):
+    """Rows that repeat are worked on once, and only the table that the result reads stays."""
+    from queuelens.llm import common
+
+    rnd = random.Random(7)
+    passage = "a passage that two documents share, in other words around it, of over fifty bytes"
+    rows = [(i, "".join(rnd.choice("abcdef ") for _ in range(70)) + str(i) + passage + str(i)) for i in (1, 2)]
+    monkeypatch.setattr(common, "checkpoint_dir", lambda _: str(tmp_path))
+    docs = spark.createDataFrame([rows[0], *[rows[1]] * 4], "doc_id long, text string").repartition(3)
+    got = suffix_repeats.strip_repeats(docs)
+    assert [x.name[:8] for x in tmp_path.iterdir()] == ["llm-work"]
+    found = got.select("doc_id", "n_removed", "n_spans").collect()
+    assert sorted(map(tuple, found)) == [(1, 0, 0)] + [(2, len(passage), 1)] * 4
+    once = suffix_repeats._texts_once(docs)
+    assert sorted(map(tuple, once.select("doc_id", "text").collect())) == rows[:2]
+    # Texts that (doc_id, crc) cannot tell apart stop the job.
+    alike = spark.createDataFrame([(1, passage + "plumless"), (1, passage + "buckeroo")], "doc_id long, text string")
+    with pytest.raises(Exception, match="equal CRC-32"):
+        suffix_repeats._texts_once(alike).collect()
+
+
+def test_op3_long_texts(spark, monkeypatch):
+    """Texts longer than a portion, and portions of any size, give the same regions and spans."""
+    rnd = random.Random(8)
+    texts = [bytes(rnd.choice(b"abcdefgh \n") for _ in range(n)) for n in (40, 5000, 49, 0, 50, 700)]
+    texts.append(texts[1][1000:4000] + texts[5])
+    whole = suffix_repeats.regions(texts)
+    monkeypatch.setattr(suffix_repeats, "PART", 300)
+    monkeypatch.setattr(suffix_repeats, "_FORTH", suffix_repeats._FORTH[:601])
+    monkeypatch.setattr(suffix_repeats, "_BACK", suffix_repeats._BACK[:601])
+    assert all(np.array_equal(a, b) for a, b in zip(whole, suffix_repeats.regions(texts), strict=True))
+    found = suffix_repeats._find(texts)
+    assert np.array_equal(found[0], whole[0]) and np.array_equal(found[1], whole[3]) and np.array_equal(found[2], whole[4])
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    starts = np.flatnonzero(owner[:-49] == owner[49:])
+    held = {}
+    for s in starts.tolist():
+        held.setdefault(buf[s:s + 50].tobytes(), set()).add(owner[s])
+    assert suffix_repeats._shared(buf, starts, owner[starts]).tolist() == [
+        s for s in starts.tolist() if len(held[buf[s:s + 50].tobytes()]) > 1]
+
+
 def test_maximal_repeats_brute_force():
     rnd = random.Random(2)
     for _ in range(30):
