@@ -438,6 +438,60 @@ def test_op6_anchors_compared_in_one_task():
         assert _components(nodes, zip(got["a"], got["b"], strict=True)) == _components(nodes, near)
 
 
+def _plain_sentences(data):
+    """Words of a text, and the word numbers that start a sentence, the number of words last."""
+    words, starts = [], [0]
+    for line in data.lower().split(b"\n"):
+        for w in line.split():
+            words.append(w)
+            starts += [len(words)] if w[-1] in b".!?" else []
+        starts += [len(words)] if starts[-1] != len(words) else []
+    return words, starts
+
+
+def test_op6_sentences_of_many_texts():
+    """Words and sentence starts of texts taken together are those of each text."""
+    rnd = random.Random(15)
+    for _ in range(60):
+        texts = [bytes(rnd.choice(b"aBZ.!? \t\n\r\x0b\x0c\x85\xc3\xa0\x1c") for _ in range(rnd.choice([0, 1, 2, 30, 200])))
+                 for _ in range(rnd.randint(1, 6))]
+        h, begin, last, at = paragraph_dedup._sentences(texts)
+        want = [_plain_sentences(t) for t in texts]
+        assert h.tolist() == shingles.word_hashes([w for words, _ in want for w in [*words, b""]]).tolist()
+        assert (last - begin).tolist() == [len(words) for words, _ in want]
+        assert at.tolist() == [b + x for b, (_, starts) in zip(begin.tolist(), want, strict=True) for x in starts]
+
+
+def test_op6_stars_join_what_links_join(monkeypatch):
+    rnd = random.Random(16)
+    for _ in range(30):
+        links = [(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(rnd.randint(0, 40))]
+        monkeypatch.setattr(paragraph_dedup, "_compare_block", lambda _, links=links: pa.table(
+            {"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())}))
+        stars = paragraph_dedup._stars(None).to_pydict()
+        ends = list(zip(stars["a"], stars["b"], strict=True))
+        assert _components(range(61), ends) == _components(range(61), links)
+        assert all(b < a for a, b in ends) and not set(stars["a"]) & set(stars["b"])
+
+
+def test_op6_components_joined_further(spark, monkeypatch):
+    """Further links join components without a second search of all links."""
+    rnd = random.Random(17)
+    first = [(rnd.randint(0, 80), rnd.randint(0, 80)) for _ in range(50)]
+    more = [(rnd.randint(0, 99), rnd.randint(0, 99)) for _ in range(15)]
+    joined = paragraph_dedup.components(spark.createDataFrame(first, "a long, b long"))
+    searched = []
+    monkeypatch.setattr(paragraph_dedup, "components", lambda links, f=paragraph_dedup.components: searched.append(links.count()) or f(links))
+    got = {r["node"]: r["component"] for r in paragraph_dedup._joined_further(
+        joined, spark.createDataFrame(more, "a long, b long")).collect()}
+    groups = collections.defaultdict(set)
+    for k, g in _components(range(100), first + more).items():
+        groups[g].add(k)
+    want = {k: min(g) for g in groups.values() if len(g) > 1 for k in g}
+    assert {k: g for k, g in got.items() if k in want} == want and all(k == g for k, g in got.items() if k not in want)
+    assert searched == [len(more)]
+
+
 def test_op6_no_search_for_anchors_of_a_few_hundred_regions(spark, monkeypatch):
     """Different paragraphs around one phrase in 500 documents: compared whole, without copies for a search in blocks."""
     rnd = random.Random(14)
