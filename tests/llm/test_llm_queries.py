@@ -15,6 +15,7 @@ import pytest
 import corpus_pipeline
 from conftest import SF_SMALL
 from queuelens import llm
+from queuelens.llm import components as components_module
 from queuelens.llm import (
     decontaminate,
     license_scan,
@@ -438,6 +439,67 @@ def test_op6_anchors_compared_in_one_task():
         assert _components(nodes, zip(got["a"], got["b"], strict=True)) == _components(nodes, near)
 
 
+def _blocks_of_regions(rnd, n):
+    """Packed regions of few anchors with near, equal and other paragraphs."""
+    for _ in range(n):
+        rows = []
+        for a in range(rnd.randint(1, 4)):
+            base = [[rnd.randint(0, 10**9) for _ in range(rnd.randint(21, 60))] for _ in range(3)]
+            for _ in range(rnd.randint(1, 14)):
+                s = list(rnd.choice(base))
+                for _ in range(rnd.randint(0, 6)):
+                    s[rnd.randrange(len(s))] = rnd.choice([rnd.randint(0, 10**9), s[0]])
+                rows.append({"anchor": a, "digests": [hash((a, tuple(s)))], "cuts": [0, len(s)], "shingles": s})
+        packed = {n: pa.array([np.array(r[n], t).tobytes() for r in rows], pa.binary()) for n, t in paragraph_dedup.PACKED.items()}
+        yield rows, pa.table({"anchor": pa.array([r["anchor"] for r in rows], pa.int64())} | packed)
+
+
+def test_op6_regions_travel_as_bytes():
+    """Packed lists come back as they were, also from slices and with empty ones."""
+    assert "array" not in paragraph_dedup.WORK
+    for rows, packed in _blocks_of_regions(random.Random(17), 5):
+        for at in (0, 1):
+            lists = paragraph_dedup._with_lists(packed.slice(at))
+            assert lists.to_pylist() == rows[at:]
+    some = paragraph_dedup._packed(np.arange(5), np.array([2, 0, 3]))
+    assert paragraph_dedup._unpacked(some, np.dtype("<i8")).to_pylist() == [[0, 1], [], [2, 3, 4]]
+    assert paragraph_dedup._unpacked(some[:0], np.dtype("<i8")).to_pylist() == []
+
+
+def test_op6_pairs_looked_at_together_join_what_the_search_joins(monkeypatch):
+    def no_search(*_):
+        raise AssertionError("small anchors need no search in Python")
+
+    blocks = [paragraph_dedup._with_lists(packed) for _, packed in _blocks_of_regions(random.Random(18), 30)]
+    monkeypatch.setattr(paragraph_dedup, "PAIRS", 7)
+    with monkeypatch.context() as m:
+        m.setattr(paragraph_dedup, "_forest", no_search)
+        pairs = [paragraph_dedup._compare_block(b).to_pydict() for b in blocks]
+    monkeypatch.setattr(paragraph_dedup, "PAIRED", 3)
+    for block, got in zip(blocks, pairs, strict=True):
+        nodes = [d for x in block["digests"].to_pylist() for d in x]
+        forest = paragraph_dedup._compare_block(block).to_pydict()
+        assert _components(nodes, zip(got["a"], got["b"], strict=True)) == _components(nodes, zip(forest["a"], forest["b"], strict=True))
+
+
+def test_keys_that_only_low_bits_tell_apart_are_numbered():
+    key = np.array([5, 4, 5, 1 << 60, 4, 5, 0], np.uint64)
+    for part in (key, key[:1], key[:0]):
+        number, count = paragraph_dedup._numbered(part)
+        assert (part[:, None] == part).tolist() == (number[:, None] == number).tolist()
+        assert count[number].tolist() == (part[:, None] == part).sum(axis=1).tolist()
+
+
+def test_components_end_at_stars(spark, monkeypatch):
+    """Links that one round makes stars are not searched a second time."""
+    steps = []
+    monkeypatch.setattr(components_module, "stored", lambda df, name, f=components_module.stored: steps.append(name) or f(df, name))
+    links = [(2, 1), (3, 1), (9, 8), (9, 7), (5, 5)]
+    got = {r["node"]: r["component"] for r in components_module.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7}
+    assert steps.count("least") == 1
+
+
 def _plain_sentences(data):
     """Words of a text, and the word numbers that start a sentence, the number of words last."""
     words, starts = [], [0]
